@@ -76,3 +76,29 @@ def with_position(df: DataFrame, *order: str) -> DataFrame:
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return parts.withColumn("_local", local).join(F.broadcast(sizes.withColumn("_before", before).drop("count")), "_part").withColumn("pos", F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
+
+
+def bounded_sample(df: DataFrame, rows: int, seed: int, key: str, by: str | None = None) -> list:
+    """At most `rows` rows of df, or of each value of `by`, brought to the driver: those
+    with the least hash of the key. A count sets the hash below which about that many
+    lie, so a scan sends little more than it keeps, from however many partitions."""
+    space = 1 << 30
+    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(space))
+    counted = df.groupBy(*([by] if by else [])).agg(F.count(F.lit(1)).alias("_n")).collect()
+    below = lambda n: min(space, int(space * (rows + 4 * rows**0.5 + 8) / max(1, n)) + 1)
+    marked = df.withColumn("_h", h)
+    if by is None:
+        near = marked.where(F.col("_h") < below(counted[0]["_n"]))
+    else:
+        limits = F.create_map(*[F.lit(x) for r in counted if r[by] is not None for x in (r[by], below(r["_n"]))]) if any(r[by] is not None for r in counted) else None
+        if limits is None:
+            return []
+        near = marked.where(F.col("_h") < limits[F.col(by)])
+    taken: dict = {}
+    out = []
+    for r in sorted(near.collect(), key=lambda r: (r["_h"], repr(r))):
+        label = r[by] if by else None
+        if taken.get(label, 0) < rows:
+            taken[label] = taken.get(label, 0) + 1
+            out.append(r)
+    return out
