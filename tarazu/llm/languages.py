@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarazu.functions.order import bounded_sample
 from tarazu.llm.answers import is_empty_answer, sentences
 from tarazu.session import spread
 
@@ -213,11 +214,7 @@ def fit_on(train: DataFrame, rows: int = SAMPLE_ROWS) -> Machines:
     """Machines fitted on at most `rows` labelled outputs of each language, chosen by a
     hash of row_id, so the same rows are chosen wherever they lie."""
     labelled = train.select(label_language().alias("label"), "output", "row_id").where(F.col("label").isin(*LANGUAGES) & (F.length("output") > 20))
-    picked = None
-    for lang in LANGUAGES:  # a top-k per language: no window over a whole label
-        one = labelled.where(F.col("label") == lang).orderBy(F.xxhash64("row_id"), "row_id", "output").limit(rows)
-        picked = one if picked is None else picked.unionByName(one)
-    return fit([(r[0], r[1]) for r in picked.collect()])
+    return fit([(r["label"], r["output"]) for r in bounded_sample(labelled, rows, 0, "row_id", "label")])
 
 
 def stretches(train: DataFrame, machines: Machines | None = None) -> DataFrame:
