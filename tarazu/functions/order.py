@@ -49,17 +49,17 @@ def split_exact(df: DataFrame, share: float, seed: int | str, *keys: str) -> tup
 def upper_ranks(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Of each group n, min, max, the floor of the mean and for each probability the
     value at zero-based rank floor(n * p). Ranks come from the counts of distinct
-    values, so rows are neither sorted nor gathered; nulls take no part."""
+    values, so rows are neither sorted nor gathered; nulls take no part. Without groups
+    and values all are 0."""
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     up = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("_to", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(w))
     picks = [F.min(F.when(F.col("_to") > F.floor(F.col("_all").cast("double") * p), F.col(value))).alias(name) for name, p in probs.items()]
-    out = ranked.groupBy(*by).agg(
-        F.sum("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.expr(f"sum(cast(`{value}` as bigint) * _n) div sum(_n)").alias("mean"), *picks
-    )
-    return out
+    mean = F.expr(f"sum(cast(`{value}` as bigint) * _n) div sum(_n)")
+    out = ranked.groupBy(*by).agg(F.sum("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), mean.alias("mean"), *picks)
+    return out.fillna(0, ["n", "min", "max", "mean", *probs])
 
 
 def batches(df: DataFrame, size: int, *order: str) -> DataFrame:

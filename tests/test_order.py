@@ -24,7 +24,8 @@ def test_upper_ranks(spark):
     df = spark.createDataFrame([(x,) for x in range(1, 11)] + [(None,)], "v int")
     r = order.upper_ranks(df, "v", {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}).first()
     assert (r.n, r["min"], r["max"], r["mean"], r.median, r.p90, r.p95, r.p99) == (10, 1, 10, 5, 6, 10, 10, 10)
-    assert order.upper_ranks(df.limit(0), "v", {"median": 0.5}).count() == 0
+    assert tuple(order.upper_ranks(df.limit(0), "v", {"median": 0.5}).first()) == (0, 0, 0, 0, 0)
+    assert order.upper_ranks(df.limit(0).withColumn("g", F.lit(1)), "v", {"median": 0.5}, ["g"]).count() == 0
 
 
 def test_positions_are_dense_with_ties_in_the_key(spark):
