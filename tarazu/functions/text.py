@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as Python strips it; Arabic-script ranges; ASCII letters; the chat template's marks.
-SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 ARABIC_SCRIPT = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 ASCII_LETTERS = "[a-zA-Z]"
 TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
@@ -23,13 +23,14 @@ def text_or_empty(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Without white space at both ends, Unicode's and the control separators included."""
-    return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends, Unicode's and the control separators included.
+    Trimming looks at the ends only; a pattern would look at every blank."""
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def clean_whitespace(c: Column | str) -> Column:
     """Runs of blanks and tabs as one blank, three or more line ends as two, stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(_col(c), "[ \t]+", " "), "\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(_col(c), "[ \t]{2,}|\t", " "), "\n{3,}", "\n\n"))
 
 
 def combined_length(*cs: Column | str) -> Column:
@@ -41,13 +42,14 @@ def combined_length(*cs: Column | str) -> Column:
 
 
 def script_count(c: Column | str, script: str = ARABIC_SCRIPT) -> Column:
-    return F.regexp_count(_col(c), F.lit(script))
+    c = _col(c)
+    return F.length(c) - F.length(F.regexp_replace(c, f"{script}+", ""))  # a count by matches would make a string of each letter
 
 
 def script_ratio(c: Column | str, script: str = ARABIC_SCRIPT) -> Column:
     """Letters of the script among those and ASCII letters; 0 without either."""
     n = script_count(c, script)
-    return F.coalesce(F.try_divide(n.cast("double"), (n + F.regexp_count(_col(c), F.lit(ASCII_LETTERS))).cast("double")), F.lit(0.0))
+    return F.coalesce(F.try_divide(n.cast("double"), (n + script_count(c, ASCII_LETTERS)).cast("double")), F.lit(0.0))
 
 
 def strip_script(c: Column | str, script: str = ARABIC_SCRIPT, most: float = 0.5) -> Column:

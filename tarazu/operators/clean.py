@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarazu.functions import text as tx
+from tarazu.session import spread
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ def tag(df: DataFrame, rules: Rules = Rules(), order: str = "row_id") -> DataFra
     is partial before the shuffle, and are marked by a join on the order key: an
     instruction that a third of all records share is no hot key in either.
     """
-    cleaned = df.withColumns({c: tx.clean_whitespace(tx.text_or_empty(c)) for c in ("instruction", "input", "output")} | {"source": F.coalesce("source", F.lit("unknown"))})
+    cleaned = spread(df).withColumns({c: tx.clean_whitespace(tx.text_or_empty(c)) for c in ("instruction", "input", "output")} | {"source": F.coalesce("source", F.lit("unknown"))})
     filled = (F.col("instruction") != "") & (F.col("output") != "")
     cleaned = cleaned.withColumns({"_filled": filled, "_size": tx.combined_length("instruction", "input", "output")})
     firsts = cleaned.where("_filled").groupBy(F.md5(F.lower("instruction")).alias("_key")).agg(F.min(order).alias(order)).select(order, F.lit(True).alias("_first"))
