@@ -199,7 +199,7 @@ def fit(labelled: list[tuple[str, str]]) -> Machines:
             continue
         own = [rows[i] for i in use]
         for again in (True, True, False):
-            w, c = _machine(words, own, y)
+            w, c = _machine(words, own, y, 20 if again else 60)
             word = np.array([w[f].mean() for f in words]) if words else np.zeros(0)
             margin = np.array([word[r].mean() for r in own]) + c
             if again:
