@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame
 
 from tarazu.llm import normal
-from tarazu.session import materialize
+from tarazu.session import materialize, spread
 
 #: Trigrams seen so often are judged by their own counts.
 SEEN = 3
@@ -42,40 +42,59 @@ def _one_to_one() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
+#: Characters at the end of a text in which what follows it is looked for; rules of signs may be longer.
+TAIL = 300
+
+
 def _words(source: str) -> str:
     """WITH clause up to `words`: the units of each text as arrays of words. Two empty
     words precede a unit, numbers are 0, and words of list items are marked, since
-    what ends an item seldom ends a sentence."""
-    old, new = (x.replace("\\", "\\\\").replace("'", "\\'") for x in _one_to_one())
-    hidden = r"[\\x{AD}\\x{34F}\\x{61C}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}]"
-    # what may follow a finished text: end marks of chats, references, emoji, rules, signatures, end lines
+    what ends an item seldom ends a sentence. Patterns run over whole texts before
+    they are split, and the costly ones only where a cheap one finds something."""
+    old, new = _one_to_one()
+    hidden = r"[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
+    blanks = r"[\r\x{85}\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\t]"
+    # signs that don't stay as they are; a negated class of all others takes Java many times as long
+    odd = r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{FF00}-\x{FFEF}\x{370}-\x{58F}\x{643}\x{649}\x{64A}\x{660}-\x{669}\x{6D5}\x{2000}-\x{200F}\x{2028}-\x{206F}\r\t\x{85}\x{A0}\x{AD}\x{34F}\x{61C}\x{180E}\x{3000}\x{FE00}-\x{FE0F}]"
+    # what may follow a finished text: end marks of chats, references, emoji, signatures, end lines
     after = (
-        r"(?:\\s*[\"”»)]?\\s*(?:<\\|(?:im_end|endoftext)\\|>|\\(\\d+\\)|\\[\\d+\\]|[\\p{So}\\x{1F3FB}-\\x{1F3FF}&&[^\\x{FFFD}]]+|\\n\\s*(?:[*=_~]+|[*=_~#-]{3,})|(?:\\n|\\|>)\\s*— ?[^\\n]{1,60}|\\n\\s*(?:THE END|The end|Tamam shud|ختم شد|تمام شد)))+\\s*[\"”»)]?$"
+        r"(?:\s*[\"”»)]?\s*(?:<\|(?:im_end|endoftext)\|>|\(\d+\)|\[\d+\]|[\p{So}\x{1F3FB}-\x{1F3FF}&&[^\x{FFFD}]]+|\n\s*(?:[*=_~]+|[*=_~#-]{3,})|(?:\n|\|>)\s*— ?[^\n]{1,60}|\n\s*(?:THE END|The end|Tamam shud|ختم شد|تمام شد)))+\s*[\"”»)]?$"
     )
+    q = lambda pattern: "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    signs = r"[\"“”()\[\]*#=.۔?!؟।…\x{FFFD}]+"
     return f"""
 WITH plain AS (
-  SELECT doc_id, source, regexp_replace(regexp_replace(translate(text, '{old}', '{new}'), '{hidden}', ''), '[\\\\r\\\\x{{85}}\\\\x{{A0}}\\\\x{{2000}}-\\\\x{{200A}}\\\\x{{202F}}\\\\x{{205F}}\\\\x{{3000}}\\\\t]', ' ') AS t0
+  SELECT doc_id, source, if(text RLIKE {q(odd)}, regexp_replace(regexp_replace(translate(text, {q(old)}, {q(new)}), {q(hidden)}, ''), {q(blanks)}, ' '), text) AS t0
   FROM {source} WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), stripped AS (
-  SELECT doc_id, source, regexp_replace(t0, '\\\\s+$', '') AS t FROM plain WHERE t0 RLIKE '\\\\S'
+  SELECT doc_id, source, t, trim(TRAILING '*=_~#- \\n' FROM t) AS t1 FROM (SELECT doc_id, source, trim(TRAILING ' \\n\\t\\u000b\\u000c' FROM t0) AS t FROM plain) WHERE t <> ''
+), ruled AS (
+  SELECT doc_id, source, t, t1 <> t AND substring(t, length(t1) + 1) RLIKE {q(r"^[ ]*\n\s*(?:[*=_~]+|[*=_~#-]{3,})")} AS ruled, t1 FROM stripped
+), bodied AS (
+  SELECT doc_id, source, ruled, if(ruled, t1, t) AS t, right(if(ruled, t1, t), {TAIL}) AS tail FROM ruled
 ), formed AS (
-  SELECT doc_id, source, t,
-    regexp_count(t, '```') % 2 = 1 OR t RLIKE '\\\\n`{{1,2}}$' AS open_code,
-    t RLIKE '<\\\\|[a-z_]*\\\\|?$' AS open_mark,
-    t RLIKE '[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}},،:-]\\\\s*\\\\x{{FFFD}}+$' AS broken,
-    t RLIKE '(?:^|\\\\n)\\\\s*(?:-|\\\\d+[.)])$' AS bare_item,
-    t RLIKE '{after}' AS closed
-  FROM stripped
-), split_up AS (
+  SELECT doc_id, source, t, tail,
+    instr(t, '```') > 0 AND (length(t) - length(replace(t, '```', ''))) % 6 = 3 OR endswith(t, '\\n`') OR endswith(t, '\\n``') AS open_code,
+    tail RLIKE {q(r"<\|[a-z_]*\|?$")} AS open_mark,
+    tail RLIKE {q(r"[\p{L}\p{M}\p{N},،:-]\s*\x{FFFD}+$")} AS broken,
+    tail RLIKE {q(r"(?:^|\n)\s*(?:-|\d+[.)])$")} AS bare_item,
+    ruled OR tail RLIKE {q(after)} AS closed
+  FROM bodied
+), cut_up AS (
   SELECT doc_id, source, open_code, open_mark, broken, bare_item,
-    filter(split(regexp_replace(regexp_replace(regexp_replace(t, '{after}', '\\n'), '(?s)```.*?(?:```|$)', '\\n'), '<\\\\|[a-z_]+\\\\|>', '\\n'), '(?<=[.۔?!؟।])\\\\s+|\\\\n+'), u -> u RLIKE '[\\\\p{{L}}\\\\p{{N}}]') AS units,
-    NOT closed AND NOT t RLIKE '```$' AND (t RLIKE '\\\\.\\\\.$' OR NOT t RLIKE '[.۔?!؟।][\"”»)\\\\s]*$') AS unfinished
+    NOT closed AND NOT endswith(t, '```') AND (endswith(t, '..') OR NOT tail RLIKE {q(r"[.۔?!؟।][\"”»)\s]*$")}) AS unfinished,
+    if(closed, concat(left(t, length(t) - length(tail)), regexp_replace(tail, {q(after)}, '\\n')), t) AS t
   FROM formed
+), lined AS (
+  SELECT * EXCEPT (t, u), regexp_replace(if(instr(t, '<|') > 0, regexp_replace(u, {q(r"<\|[a-z_]+\|>")}, '\\n'), u), {q(r"(?<=[.۔?!؟।])\s+")}, '\\n') AS v
+  FROM (SELECT *, if(instr(t, '```') > 0, regexp_replace(t, {q(r"(?s)```.*?(?:```|$)")}, '\\n'), t) AS u FROM cut_up)
+), split_up AS (
+  SELECT * EXCEPT (v), split(regexp_replace(regexp_replace(if(v RLIKE {q(r"(?m)^ *[-•*] ")}, regexp_replace(v, {q(r"(?m)^ *[-•*] ")}, '• '), v), '[0-9۰-۹٠-٩]+', '0'), {q(signs)}, ' '), {q(r"\s*\n\s*")}) AS units
+  FROM lined
 ), words AS (
-  SELECT doc_id, source, open_code, open_mark, broken, bare_item, unfinished,
-    filter(transform(units, u -> concat(array('', ''), transform(
-      filter(split(regexp_replace(regexp_replace(u, '\\\\p{{N}}+', '0'), '[\"“”()\\\\[\\\\]*#=.۔?!؟।…\\\\x{{FFFD}}]+', ' '), '\\\\s+'), w -> w <> ''),
-      w -> if(u RLIKE '^\\\\s*[-•*] ', concat(w, ' •'), w)))), u -> size(u) > 2) AS units
+  SELECT * EXCEPT (units), filter(transform(units, u -> concat(array('', ''), if(startswith(u, '• '),
+      transform(filter(split(substring(u, 3), ' +'), w -> w <> ''), w -> concat(w, ' •')),
+      filter(split(u, ' +'), w -> w <> '')))), u -> size(u) > 3 OR size(u) = 3 AND u[2] RLIKE {q(r"[\p{L}\p{N}]")}) AS units
   FROM split_up
 )
 """
@@ -163,7 +182,7 @@ def signs(documents: DataFrame) -> DataFrame:
     documents; a last unit without stop is judged, not counted."""
     spark = documents.sparkSession
     name = f"tarazu_{uuid.uuid4().hex}"
-    documents.select("doc_id", "source", "text").createOrReplaceTempView(name)
+    spread(documents.select("doc_id", "source", "text")).createOrReplaceTempView(name)
     materialize(spark.sql(_words(name) + _GRAMS)).createOrReplaceTempView(f"{name}_grams")
     materialize(spark.sql(_words(name) + _TAILS)).createOrReplaceTempView(f"{name}_tails")
     return spark.sql(_JUDGED.format(grams=f"{name}_grams", tails=f"{name}_tails"))
