@@ -17,6 +17,7 @@ import unicodedata
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tarazu.llm import normal
 from tarazu.session import materialize, spread
@@ -100,29 +101,32 @@ WITH plain AS (
 """
 
 
-_GRAMS = """
-SELECT w.w1, w.w2, w.w3, count(*) AS n, count_if(w.ends) AS e
+_COUNTED = """
+SELECT w.doc_id, w.source, w.marks, w.w1, w.w2, w.w3, count(*) AS n, count_if(w.ends) AS e
 FROM (
-  SELECT explode(flatten(transform(if(unfinished AND size(units) > 0, slice(units, 1, size(units) - 1), units),
-    u -> transform(sequence(3, size(u)), i -> named_struct('w1', u[i - 3], 'w2', u[i - 2], 'w3', u[i - 1], 'ends', i = size(u)))))) AS w
-  FROM words
+  SELECT explode(concat(
+    flatten(transform(if(unfinished AND size(units) > 0, slice(units, 1, size(units) - 1), units),
+      u -> transform(sequence(3, size(u)), i -> named_struct('doc_id', CAST(NULL AS BIGINT), 'source', CAST(NULL AS STRING), 'marks', 0, 'w1', u[i - 3], 'w2', u[i - 2], 'w3', u[i - 1], 'ends', i = size(u))))),
+    array(named_struct('doc_id', CAST(doc_id AS BIGINT), 'source', source,
+      'marks', int(open_code) + 2 * int(open_mark) + 4 * int(bare_item) + 8 * int(broken) + 16 * int(unfinished)
+        + 32 * int(unfinished AND coalesce(exists(flatten(units), w -> startswith(w, last[size(last) - 1]) AND length(w) >= length(last[size(last) - 1]) + 2), FALSE)),
+      'w1', if(unfinished, try_element_at(last, -3), NULL), 'w2', if(unfinished, try_element_at(last, -2), NULL), 'w3', if(unfinished, try_element_at(last, -1), NULL), 'ends', FALSE)))) AS w
+  FROM (SELECT *, try_element_at(units, -1) AS last FROM words)
 ) GROUP BY ALL
 """
 
-_TAILS = """
-SELECT doc_id, source, open_code, open_mark, broken, bare_item, unfinished,
-  if(unfinished, try_element_at(last, -3), NULL) AS a, if(unfinished, try_element_at(last, -2), NULL) AS b, if(unfinished, try_element_at(last, -1), NULL) AS c,
-  unfinished AND exists(flatten(units), w -> startswith(w, last[size(last) - 1]) AND length(w) >= length(last[size(last) - 1]) + 2) AS longer_here
-FROM (SELECT *, try_element_at(units, -1) AS last FROM words)
-"""
-
 _JUDGED = f"""
-WITH asked AS (
-  SELECT DISTINCT a, b, c FROM {{tails}} WHERE c IS NOT NULL
+WITH grams AS (
+  SELECT w1, w2, w3, n, e FROM {{counted}} WHERE doc_id IS NULL
+), tails AS (
+  SELECT doc_id, source, n AS copies, w1 AS a, w2 AS b, w3 AS c, marks & 1 > 0 AS open_code, marks & 2 > 0 AS open_mark, marks & 4 > 0 AS bare_item, marks & 8 > 0 AS broken, marks & 16 > 0 AS unfinished, marks & 32 > 0 AS longer_here
+  FROM {{counted}} WHERE doc_id IS NOT NULL
+), asked AS (
+  SELECT DISTINCT a, b, c FROM tails WHERE c IS NOT NULL
 ), two AS (
-  SELECT w2, w3, sum(n) AS n, sum(e) AS e FROM {{grams}} GROUP BY ALL
+  SELECT w2, w3, sum(n) AS n, sum(e) AS e FROM grams GROUP BY ALL
 ), here AS (
-  SELECT * FROM {{grams}} LEFT SEMI JOIN (SELECT DISTINCT a, b FROM asked) ON w1 = a AND w2 = b
+  SELECT * FROM grams LEFT SEMI JOIN (SELECT DISTINCT a, b FROM asked) ON w1 = a AND w2 = b
 ), place AS (
   SELECT w1, w2, sum(n) AS n, sum(e) AS e FROM here GROUP BY ALL
 ), endings AS (
@@ -145,7 +149,7 @@ WITH asked AS (
   SELECT asked.*, coalesce(f.n, 0) AS nf, coalesce(g.n, 0) AS n3, coalesce(g.e, 0) AS e3, coalesce(p.n, 0) AS np, coalesce(p.e, 0) AS ep, coalesce(t.n, 0) AS n2, coalesce(t.e, 0) AS e2,
     coalesce(o.n, 0) AS n1, coalesce(o.e, 0) AS e1, coalesce(x.n, 0) AS nx, coalesce(l.n, 0) AS nl
   FROM asked
-  LEFT JOIN {{grams}} g ON g.w1 = a AND g.w2 = b AND g.w3 = c
+  LEFT JOIN grams g ON g.w1 = a AND g.w2 = b AND g.w3 = c
   LEFT JOIN place p ON p.w1 = a AND p.w2 = b
   LEFT JOIN two t ON t.w2 = b AND t.w3 = c
   LEFT JOIN one o ON o.w3 = c
@@ -153,7 +157,7 @@ WITH asked AS (
   LEFT JOIN longer l ON l.w2 = b AND l.beginning = c
   LEFT JOIN begun f ON f.beginning = c
 )
-SELECT doc_id, source, t.a, t.b, t.c, unfinished, n3, e3, np, ep, n2, e2, n1, e1, nx, nl, nf, longer_here,
+SELECT doc_id, source, copies, t.a, t.b, t.c, unfinished, n3, e3, np, ep, n2, e2, n1, e1, nx, nl, nf, longer_here,
   CASE
     WHEN open_code THEN 'code'
     WHEN open_mark THEN 'mark'
@@ -172,20 +176,20 @@ SELECT doc_id, source, t.a, t.b, t.c, unfinished, n3, e3, np, ep, n2, e2, n1, e1
     WHEN n1 >= {SEEN} THEN CASE WHEN e1 < {END_SHARE} * n1 THEN 'unigram' END
     ELSE 'unknown'
   END AS sign
-FROM {{tails}} t LEFT JOIN judged j ON t.a = j.a AND t.b = j.b AND t.c = j.c
+FROM tails t LEFT JOIN judged j ON t.a = j.a AND t.b = j.b AND t.c = j.c
 """
 
 
 def signs(documents: DataFrame) -> DataFrame:
-    """One row per document with a text: the sign of its cut, or null. Null and
-    blank texts have no row; a repeated row keeps its copies. Counts cover all
-    documents; a last unit without stop is judged, not counted."""
+    """One row per document with a text: the sign of its cut, or null, and how many
+    copies of the row there are. Null and blank texts have no row. Counts cover all
+    documents; a last unit without stop is judged, not counted. Texts are read once:
+    the last words of each leave with the trigrams, in one shuffle of counts."""
     spark = documents.sparkSession
     name = f"tarazu_{uuid.uuid4().hex}"
     spread(documents.select("doc_id", "source", "text")).createOrReplaceTempView(name)
-    materialize(spark.sql(_words(name) + _GRAMS)).createOrReplaceTempView(f"{name}_grams")
-    materialize(spark.sql(_words(name) + _TAILS)).createOrReplaceTempView(f"{name}_tails")
-    return spark.sql(_JUDGED.format(grams=f"{name}_grams", tails=f"{name}_tails"))
+    materialize(spark.sql(_words(name) + _COUNTED)).createOrReplaceTempView(f"{name}_counted")
+    return spark.sql(_JUDGED.format(counted=f"{name}_counted"))
 
 
 def cut_documents(documents: DataFrame) -> DataFrame:
@@ -195,6 +199,4 @@ def cut_documents(documents: DataFrame) -> DataFrame:
 
 def cut_shares(documents: DataFrame) -> DataFrame:
     """For each source its texts that aren't blank, how many are cut and their share."""
-    return signs(documents).selectExpr("source", "cast(sign is not null as int) as cut").groupBy("source").agg({"*": "count", "cut": "sum"}).selectExpr(
-        "source", "`count(1)` as n_texts", "`sum(cut)` as n_cut", "`sum(cut)` / `count(1)` as cut_share"
-    )
+    return signs(documents).groupBy("source").agg(F.sum("copies").alias("n_texts"), F.coalesce(F.sum(F.when(F.col("sign").isNotNull(), F.col("copies"))), F.lit(0)).alias("n_cut")).withColumn("cut_share", F.col("n_cut") / F.col("n_texts"))
