@@ -13,6 +13,8 @@ from tarazu.session import spread
 
 @dataclass(frozen=True)
 class Rules:
+    """Limits and, as fixed values, the sources that a rule is for."""
+
     min_chars: int = 20
     max_chars: int = 5000
     min_ratio: float = 0.3

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tarazu.functions import text as tx
 from tarazu.functions.order import upper_ranks
 
-SYSTEM = "You are a helpful assistant that answers in Urdu."
+#: Fixed value: the system turn of formatted records.
+SYSTEM = "You are a helpful assistant."
 MAX_TOKENS = 2048
 PROBS = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 #: Runs of letters or digits and single other signs: what a count stands for without a tokenizer.

@@ -338,6 +338,48 @@ def event_windows(s, d):
     return w.select(F.col("start").cast("string").alias("start"), "event_type", "n_events", _r6("total"))
 
 
+def low_ratio_examples(s, d):
+    """The first three outputs with little of the script, as a spot check."""
+    rows = _train(s, d).select("row_id", tx.text_or_empty("output").alias("output")).withColumn("ratio", tx.script_ratio("output"))
+    return rows.where("ratio < 0.5").orderBy("row_id").limit(3).select("row_id", F.md5(tx.preview("output", 300, always=True)).alias("start"), _r6("ratio"))
+
+
+def steps_per_epoch(s, d):
+    n = _train(s, d).agg(F.count(F.lit(1)).alias("n_records")).withColumn("n_held", F.ceil(F.col("n_records") * 0.05))
+    return n.withColumn("steps_per_epoch", F.expr("(n_records - n_held) div 16"))
+
+
+def usage_totals(s, d):
+    st = enrich.last_states(_t(s, d, "progress").fillna(0, ["total_input_tokens", "total_output_tokens"]))
+    return st.groupBy("job").agg(F.count(F.lit(1)).alias("n_jobs"), F.sum("done").alias("n_done"), F.sum("total_input_tokens").cast("long").alias("input_tokens"), F.sum("total_output_tokens").cast("long").alias("output_tokens"))
+
+
+def pair_duplicates(s, d):
+    """How many different instruction and output pairs occur how often; only hashes are shuffled."""
+    pairs = _train(s, d).where("instruction is not null and output is not null").select(F.md5("instruction").alias("i"), F.md5("output").alias("o"))
+    return pairs.groupBy("i", "o").agg(F.count(F.lit(1)).alias("copies")).groupBy("copies").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+def judge_labels(s, d):
+    labels = s.createDataFrame([("judge-alpha", "A"), ("judge-beta", "B")], "judge string, label string")
+    return _rates(s, d).where("category = 'overall'").join(labels, "judge", "left").select("judge", F.coalesce("label", "judge").alias("label"), _r6("ft_pct"))
+
+
+def eval_languages(s, d):
+    return _t(s, d, "prompts").groupBy(F.coalesce("language", F.lit("none")).alias("language"), "category").agg(F.count(F.lit(1)).alias("n_prompts"))
+
+
+def message_roles(s, d):
+    turns = tx.chat_messages(F.lit(fmt.SYSTEM), tx.user_message(tx.text_or_empty("instruction"), tx.text_or_empty("input")), tx.text_or_empty("output"))
+    flat = _train(s, d).select(F.explode(turns).alias("m"))
+    return flat.groupBy(F.col("m.role").alias("role")).agg(F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("m.content").cast("long")).alias("n_chars"))
+
+
+def document_text_columns(s, d):
+    p = profile.length_profile(_t(s, d, "documents"), short=50, long=3000)
+    return p.select("column", *[F.col(c).cast("long").alias(c) for c in ("n", "min", "max", "mean", "median", "n_empty", "n_short", "n_long")])
+
+
 def checksum_by_source(s, d):
     """Rows, and a fold of their hashes that no order changes."""
     h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[tx.text_or_empty(c) for c in ("instruction", "input", "output")])), 1, 8), 16, 10).cast("long")
@@ -351,5 +393,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         top_languages, has_input_share, dataset_comparison, combine_new, seeded_sample, disjoint_second_sample, gathered_rows, shuffle_positions, train_val_split, batch_pack, batch_requests,
         topic_cycle, running_budget, failure_breaker, response_parse, positional_match, progress_marks, job_states, log_merge, eval_asof_trend, ema_loss, best_and_overfit, epoch_boundaries, log_kinds,
         eval_join, eval_counts, judge_winrates, judge_median_delta, judge_bands, judge_agreement, blinded_ab, char_map, preview_rows, event_windows, checksum_by_source,
+        low_ratio_examples, steps_per_epoch, usage_totals, pair_duplicates, judge_labels, eval_languages, message_roles, document_text_columns,
     )
     return {f.__name__: f for f in each}

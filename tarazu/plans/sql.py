@@ -52,7 +52,7 @@ tagged AS (SELECT *, CASE WHEN NOT filled THEN 'empty_field' WHEN nth > 1 THEN '
 
 CHAT = f"""
 WITH f AS (SELECT row_id, coalesce(source, 'unknown') AS source,
-  '<|im_start|>system' || chr(10) || 'You are a helpful assistant that answers in Urdu.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || coalesce(instruction, '')
+  '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || coalesce(instruction, '')
   || CASE WHEN {_strip("coalesce(input, '')")} <> '' THEN chr(10) || chr(10) || input ELSE '' END || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || coalesce(output, '') || '<|im_end|>' || chr(10) AS text FROM train),
 t AS (SELECT *, {_count('text', PRETOKENS)} AS n_tokens FROM f)
 """
@@ -156,5 +156,13 @@ def oracle_sql() -> dict[str, str]:
         "char_map": f"SELECT row_id, md5({mapped}) AS roman FROM train WHERE instruction IS NOT NULL",
         "preview_rows": "SELECT doc_id, md5(CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END) AS preview FROM documents WHERE text IS NOT NULL",
         "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n_events, round(sum(value), 6) AS total FROM events GROUP BY ALL",
+        "low_ratio_examples": f"SELECT row_id, md5(substring(o, 1, 300) || '...') AS start, round(r, 6) AS ratio FROM (SELECT row_id, o, {_ratio('o')} AS r FROM (SELECT row_id, coalesce(output, '') AS o FROM train)) WHERE r < 0.5 ORDER BY row_id LIMIT 3",
+        "steps_per_epoch": "SELECT count(*) AS n_records, ceil(count(*) * 0.05)::BIGINT AS n_held, (count(*) - ceil(count(*) * 0.05)::BIGINT) // 16 AS steps_per_epoch FROM train",
+        "usage_totals": "WITH p AS (SELECT *, row_number() OVER (PARTITION BY job_id, job ORDER BY done DESC, saved_at DESC, coalesce(total_output_tokens, 0) DESC) AS k FROM progress) SELECT job, count(*) AS n_jobs, sum(done)::BIGINT AS n_done, sum(coalesce(total_input_tokens, 0))::BIGINT AS input_tokens, sum(coalesce(total_output_tokens, 0))::BIGINT AS output_tokens FROM p WHERE k = 1 GROUP BY job",
+        "pair_duplicates": "WITH g AS (SELECT instruction, output, count(*) AS n FROM train WHERE instruction IS NOT NULL AND output IS NOT NULL GROUP BY ALL) SELECT n AS copies, count(*) AS n_pairs FROM g GROUP BY n",
+        "judge_labels": RATES + "SELECT r.judge, coalesce(l.label, r.judge) AS label, round(ft_pct, 6) AS ft_pct FROM rates r LEFT JOIN (VALUES ('judge-alpha', 'A'), ('judge-beta', 'B')) l(judge, label) ON l.judge = r.judge WHERE category = 'overall'",
+        "eval_languages": "SELECT coalesce(language, 'none') AS language, category, count(*) AS n_prompts FROM prompts GROUP BY ALL",
+        "message_roles": f"WITH m AS (SELECT unnest(['system', 'user', 'assistant']) AS role, unnest([28, length(coalesce(instruction, '')) + CASE WHEN {_filled('input')} <> '' THEN 2 + length(input) ELSE 0 END, length(coalesce(output, ''))]) AS l FROM train) SELECT role, count(*) AS n_turns, sum(l)::BIGINT AS n_chars FROM m GROUP BY role",
+        "document_text_columns": f"SELECT \"column\", count(*) AS n, min(l) AS min, max(l) AS max, (sum(l) // count(*))::BIGINT AS mean, {_ranks('l', {'median': 0.5})}, count(*) FILTER (l = 0) AS n_empty, count(*) FILTER (l < 50) AS n_short, count(*) FILTER (l > 3000) AS n_long FROM (SELECT \"column\", length(coalesce(v, '')) AS l FROM (SELECT 'text' AS \"column\", text AS v FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'domain', domain FROM documents UNION ALL SELECT 'source', source FROM documents)) GROUP BY 1",
         "checksum_by_source": "SELECT source, count(*) AS n_records, sum(('0x' || substr(md5(coalesce(instruction, '') || chr(31) || coalesce(input, '') || chr(31) || coalesce(output, '')), 1, 8))::BIGINT)::BIGINT AS checksum FROM train GROUP BY source",
     }
