@@ -49,7 +49,7 @@ _LOOKALIKE = re.compile(f"[{CYRILLIC}{GREEK}{ARMENIAN}]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _OF = {"Latn": regex.compile(r"\p{Latin}"), "Cyrl": regex.compile(r"\p{Cyrillic}"), "Grek": regex.compile(r"\p{Greek}"), "Armn": regex.compile(r"\p{Armenian}")}
 
-_HIDDEN = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]+")
+_HIDDEN = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
 _FORMS = re.compile("[ﬀ-ﬆﭐ-﷿ﹰ-﻾＀-￯]+")
 # letters that join the one before them: all Arabic letters but hamza, and the kashida
 _JOINS = "ؠآ-يٮٯٱ-ۓەۺ-ۼۿݐ-ݿࢠ-ࣇ"
