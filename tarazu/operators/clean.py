@@ -45,18 +45,21 @@ def tag(df: DataFrame, rules: Rules = Rules(), order: str = "row_id") -> DataFra
     cleaned = cleaned.withColumns({"_filled": filled, "_size": tx.combined_length("instruction", "input", "output")})
     firsts = cleaned.where("_filled").groupBy(F.md5(F.lower("instruction")).alias("_key")).agg(F.min(order).alias(order)).select(order, F.lit(True).alias("_first"))
     strips, ratios = F.col("source").isin(*rules.stripped_sources), F.col("source").isin(*rules.ratio_sources)
-    rows = cleaned.join(firsts, order, "left").withColumns({c: F.when(strips, tx.strip_script(c, rules.script)).otherwise(F.col(c)) for c in ("instruction", "output")})
+    rows = cleaned.withColumns({c: F.when(strips, tx.strip_script(c, rules.script)).otherwise(F.col(c)) for c in ("instruction", "output")})
     rows = rows.withColumns({f"_r{c[0]}": F.when(ratios, tx.script_ratio(c, rules.script)) for c in ("instruction", "output")})
     short = (F.length("instruction") < rules.min_after_strip) | (F.length("output") < rules.min_after_strip)
-    code = (
-        F.when(~F.col("_filled"), "empty_field").when(F.col("_first").isNull(), "duplicate")
-        .when(F.col("_size") < rules.min_chars, "too_short").when(F.col("_size") > rules.max_chars, "too_long")
+    # all that takes texts precedes the join, so texts are shuffled only where they are wanted
+    other = (
+        F.when(~F.col("_filled"), "empty_field").when(F.col("_size") < rules.min_chars, "too_short").when(F.col("_size") > rules.max_chars, "too_long")
         .when(strips & short, "roman_cleanup_empty").when(F.greatest("_ri", "_ro") < rules.min_ratio, "low_urdu_ratio")
     )
-    rows = rows.withColumn("reason_code", code)
-    detail = F.concat(F.col("reason_code"), F.lit(" (instr:"), tx.percent(F.col("_ri")), F.lit(", out:"), tx.percent(F.col("_ro")), F.lit(")"))
-    reason = F.when(F.col("reason_code") == "low_urdu_ratio", detail).otherwise(F.col("reason_code"))
-    return rows.withColumn("removal_reason", reason).drop("_filled", "_size", "_first", "_ri", "_ro")
+    rows = rows.withColumn("_other", other)
+    detail = F.concat(F.col("_other"), F.lit(" (instr:"), tx.percent(F.col("_ri")), F.lit(", out:"), tx.percent(F.col("_ro")), F.lit(")"))
+    rows = rows.withColumn("_detail", F.when(F.col("_other") == "low_urdu_ratio", detail).otherwise(F.col("_other")))
+    rows = rows.drop("_size", "_ri", "_ro").join(firsts, order, "left")
+    again = F.col("_filled") & F.col("_first").isNull()
+    rows = rows.withColumns({"reason_code": F.when(again, "duplicate").otherwise(F.col("_other")), "removal_reason": F.when(again, "duplicate").otherwise(F.col("_detail"))})
+    return rows.drop("_filled", "_first", "_other", "_detail")
 
 
 def kept(tagged: DataFrame) -> DataFrame:
