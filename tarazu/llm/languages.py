@@ -32,6 +32,7 @@ from tarazu.session import spread
 FAMILIES = {"Arabic": ("arabic", "persian", "urdu_script"), "Latin": ("english", "roman_urdu"), "Devanagari": ("hindi",)}
 LANGUAGES = tuple(x for f in FAMILIES.values() for x in f)
 PAIRS = [(f, a, b) for f, ls in FAMILIES.items() for a, b in combinations(ls, 2)]
+_PAIRS_OF = {f: [k for k, p in enumerate(PAIRS) if p[0] == f] for f in FAMILIES}
 #: Rows per label that the machines are fitted on, at most.
 SAMPLE_ROWS = 1500
 #: Hashed features, and words whose scores a worker keeps.
@@ -76,16 +77,18 @@ class Machines:
     """One linear machine for each two languages of a family."""
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray, scale: np.ndarray):
-        self.weights, self.bias, self.scale = weights.astype(np.float32), bias, scale  # pairs x FEATURES, pairs, pairs x 2
+        self.weights = weights.astype(np.float32)  # pairs x FEATURES
+        self.bias, self.scale = [float(x) for x in bias], [tuple(map(float, x)) for x in scale]
         self._words: dict[str, tuple[float, ...]] = {}
 
     def __reduce__(self):
-        return Machines, (self.weights, self.bias, self.scale)
+        return _restored, (zlib.crc32(self.weights.tobytes(), zlib.crc32(repr((self.bias, self.scale)).encode())), self.weights, self.bias, self.scale)
 
-    def _word(self, w: str) -> tuple[float, ...]:
+    def _word(self, f: str, w: str) -> tuple[float, ...]:
+        """Scores of a word by the machines of its family."""
         if len(self._words) >= KEPT_WORDS:
             self._words.clear()
-        got = self._words[w] = tuple(self.weights[:, _features(w)].mean(axis=1).tolist())
+        got = self._words[w] = tuple(self.weights[:, _features(w)].mean(axis=1)[_PAIRS_OF[f]].tolist())
         return got
 
     def language(self, sentence: str) -> tuple[str | None, float, int]:
@@ -97,14 +100,14 @@ class Machines:
         if len(names) == 1:
             return names[0], share, len(words)
         known = self._words
-        rows = [known.get(w) or self._word(w) for w in words]
+        rows = [known.get(w) or self._word(f, w) for w in words]
         votes = dict.fromkeys(names, 0.0)
-        for k, (of, a, b) in enumerate(PAIRS):
-            if of == f:
-                margin = sum([r[k] for r in rows]) / len(rows) + self.bias[k]
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale[k][0] * margin + self.scale[k][1]))))
-                votes[a] += p
-                votes[b] += 1 - p
+        for k, total in zip(_PAIRS_OF[f], map(sum, zip(*rows))):
+            _, a, b = PAIRS[k]
+            slope, offset = self.scale[k]
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * (total / len(rows) + self.bias[k]) + offset))))
+            votes[a] += p
+            votes[b] += 1 - p
         best = max(votes, key=votes.__getitem__)
         return best, share * votes[best] / (len(names) - 1), len(words)
 
@@ -137,6 +140,17 @@ class Machines:
         return {max(by, key=by.__getitem__)}
 
 
+#: The machines that a worker used last: the next task finds the scores of words that this one looked up.
+_LAST: dict[int, Machines] = {}
+
+
+def _restored(mark: int, *state) -> Machines:
+    if mark not in _LAST:
+        _LAST.clear()
+        _LAST[mark] = Machines(*state)
+    return _LAST[mark]
+
+
 def _machine(words: list[list[int]], rows: list[list[int]], y: np.ndarray, rounds: int = 60, strength: float = 1e-4) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by accelerated descent. words: features of each
     distinct word; rows: word numbers of each sentence."""
