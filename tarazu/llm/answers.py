@@ -17,6 +17,8 @@ _MARK = re.compile(r"<\|[a-z_]*\|>")
 _ENDS = re.compile(r"(?<=[.۔?!؟।…])[\"”»')\]]*\s+|\n+")
 _ITEM = re.compile(r"^\s*(?:[-*•#>]+|\d+[.)])\s*")
 _LETTER = re.compile(r"[^\W\d_]")
+#: One line that announces what doesn't follow.
+_HEADING = regex.compile(r"\W*#{1,6} ?\p{L}[^.۔?!؟।]{0,60}|\W*\p{L}[\p{L}\p{M}]*(?: [\p{L}\p{M}]+){0,3} ?[:：]\W*")
 _NOTHING = regex.compile(rf"(?:\b(?:{'|'.join(map(regex.escape, HEADINGS))})\b\s*[:：۔.-]*|{'|'.join(rf'(?<!\w){regex.escape(p)}(?!\w)' for p in PLACEHOLDERS)}|[^\p{{L}}\p{{N}}])*", regex.I)
 
 
@@ -42,4 +44,5 @@ def is_empty_answer(text: str | None) -> bool:
         return True
     if len(text) > 200:  # longer texts of nothing but signs hold no letter or digit
         return regex.search(r"[\p{L}\p{N}]", text) is None
-    return _NOTHING.fullmatch(_MARK.sub("", consistent(text))) is not None
+    flat = _MARK.sub("", consistent(text))
+    return _NOTHING.fullmatch(flat) is not None or ("\n" not in text.strip() and _HEADING.fullmatch(flat) is not None)

@@ -64,7 +64,8 @@ _UNUSUAL = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ،؛؟ء-عغفقل-نو
 
 
 def scripts(token: str) -> set[str]:
-    """The script set shared by all letters of a token; empty if it mixes scripts."""
+    """The intersection of the script sets of a token's letters: empty if it mixes
+    scripts. Marks and letters of other scripts than those with look-alikes set no limit."""
     found = {s for s, p in _OF.items() if p.search(token)}
     return found if len(found) == 1 else set()
 
@@ -73,8 +74,11 @@ def _respell(m: regex.Match) -> str:
     token = m[0]
     if not _LOOKALIKE.search(token):
         return token
+    resolved = scripts(token)
+    # a mixed token may be meant in any script, a whole-script confusable as Latin or as it stands
+    candidates = ("Latn", *resolved) if resolved else ("Latn", "Cyrl", "Grek", "Armn")
     apart = unicodedata.normalize("NFD", token)
-    for script in ("Latn", "Cyrl", "Grek", "Armn"):
+    for script in candidates:
         spell, own = _SPELL[script], _OF[script]
         out = []
         for c in apart:

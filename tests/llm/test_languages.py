@@ -81,6 +81,6 @@ def test_nothing_to_learn_from(make_train):
     assert {r.row_id: r.lang for r in languages.stretches(alone).collect()}[1] == "hindi"
 
 
-@pytest.mark.parametrize("text, empty", [(None, True), ("", True), (" \n", True), ("​", True), ("N/A", True), ("null", True), ("Answer:", True), ("## Jawab\n", True), ("جواب:", True), ("[ ]", True), ("---", True), ("<|im_end|>", True), ("?", True), ("-" * 999, True), ("No.", False), ("238", False), ("haan", False), ("ہاں", False), ("Answer: 5", False), ("x" * 300, False)])
+@pytest.mark.parametrize("text, empty", [(None, True), ("", True), (" \n", True), ("​", True), ("N/A", True), ("null", True), ("Answer:", True), ("## Jawab\n", True), ("جواب:", True), ("[ ]", True), ("---", True), ("<|im_end|>", True), ("?", True), ("-" * 999, True), ("### Summary", True), ("خلاصہ:", True), ("Note: yes", False), ("# one\ntwo", False), ("No.", False), ("238", False), ("haan", False), ("ہاں", False), ("Answer: 5", False), ("x" * 300, False)])
 def test_empty_answers(text, empty):
     assert is_empty_answer(text) == empty
