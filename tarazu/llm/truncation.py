@@ -189,7 +189,10 @@ def signs(documents: DataFrame) -> DataFrame:
     name = f"tarazu_{uuid.uuid4().hex}"
     spread(documents.select("doc_id", "source", "text")).createOrReplaceTempView(name)
     materialize(spark.sql(_words(name) + _COUNTED)).createOrReplaceTempView(f"{name}_counted")
-    return spark.sql(_JUDGED.format(counted=f"{name}_counted"))
+    out = spark.sql(_JUDGED.format(counted=f"{name}_counted"))
+    for view in (name, f"{name}_counted"):
+        spark.catalog.dropTempView(view)
+    return out
 
 
 def cut_documents(documents: DataFrame) -> DataFrame:
