@@ -89,7 +89,10 @@ def kept_by_source(tagged: DataFrame) -> DataFrame:
 
 def statistics(tagged: DataFrame) -> DataFrame:
     """The statistics document: totals and both counters as maps."""
-    as_map = lambda df, key: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n_records")))))
-    reasons = as_map(reason_counts(tagged).where("reason_code <> 'kept'"), "reason_code").toDF("removal_reasons")
-    sources = as_map(kept_by_source(tagged), "source").toDF("kept_by_source")
-    return totals(tagged).drop("kept_share").crossJoin(reasons).crossJoin(sources)
+    by_reason = reason_counts(tagged).select(F.lit("reason").alias("kind"), F.col("reason_code").alias("key"), "n_records")
+    by_source = kept(tagged).groupBy("source").agg(F.count(F.lit(1)).alias("n_records")).select(F.lit("source").alias("kind"), F.col("source").alias("key"), "n_records")
+    counter = lambda which: F.map_from_entries(F.array_sort(F.collect_list(F.when(which, F.struct("key", "n_records")))))
+    reason, stays = F.col("kind") == "reason", F.col("key") == "kept"
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("n_records"))), F.lit(0))
+    out = by_reason.unionByName(by_source).agg(total(reason).alias("n_input"), total(reason & stays).alias("n_kept"), total(reason & ~stays).alias("n_removed"), counter(reason & ~stays).alias("removal_reasons"), counter(~reason).alias("kept_by_source"))
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,5 +58,5 @@ def text_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 def counts_by_source(df: DataFrame) -> DataFrame:
     """Records and share of all by source; shares of nothing are 0."""
     n = df.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.min("row_id").alias("first_row"))
-    total = n.agg(F.sum("n_records").alias("_all"))
-    return n.crossJoin(F.broadcast(total)).select("source", "n_records", "first_row", F.coalesce(F.try_divide(100.0 * F.col("n_records"), F.col("_all").cast("double")), F.lit(0.0)).alias("share"))
+    total = F.sum("n_records").over(Window.partitionBy())  # over one row per source
+    return n.withColumn("share", F.coalesce(F.try_divide(100.0 * F.col("n_records"), total.cast("double")), F.lit(0.0)))
