@@ -72,18 +72,18 @@ WITH plain AS (
 ), ruled AS (
   SELECT doc_id, source, t, t1 <> t AND substring(t, length(t1) + 1) RLIKE {q(r"^[ ]*\n\s*(?:[*=_~]+|[*=_~#-]{3,})")} AS ruled, t1 FROM stripped
 ), bodied AS (
-  SELECT doc_id, source, ruled, if(ruled, t1, t) AS t, right(if(ruled, t1, t), {TAIL}) AS tail FROM ruled
+  SELECT doc_id, source, ruled, if(ruled, t1, t) AS t, right(if(ruled, t1, t), {TAIL}) AS tail, instr('.۔?!؟।', right(if(ruled, t1, t), 1)) > 0 AS stopped FROM ruled
 ), formed AS (
-  SELECT doc_id, source, t, tail,
+  SELECT doc_id, source, t, tail, stopped,
     instr(t, '```') > 0 AND (length(t) - length(replace(t, '```', ''))) % 6 = 3 OR endswith(t, '\\n`') OR endswith(t, '\\n``') AS open_code,
-    tail RLIKE {q(r"<\|[a-z_]*\|?$")} AS open_mark,
-    tail RLIKE {q(r"[\p{L}\p{M}\p{N},،:-]\s*\x{FFFD}+$")} AS broken,
-    tail RLIKE {q(r"(?:^|\n)\s*(?:-|\d+[.)])$")} AS bare_item,
-    ruled OR tail RLIKE {q(after)} AS closed
+    NOT stopped AND right(tail, 40) RLIKE {q(r"<\|[a-z_]*\|?$")} AS open_mark,
+    NOT stopped AND right(tail, 40) RLIKE {q(r"[\p{L}\p{M}\p{N},،:-]\s*\x{FFFD}+$")} AS broken,
+    right(tail, 20) RLIKE {q(r"(?:^|\n)\s*(?:-|\d+[.)])$")} AS bare_item,
+    ruled OR NOT stopped AND tail RLIKE {q(after)} AS closed
   FROM bodied
 ), cut_up AS (
   SELECT doc_id, source, open_code, open_mark, broken, bare_item,
-    NOT closed AND NOT endswith(t, '```') AND (endswith(t, '..') OR NOT tail RLIKE {q(r"[.۔?!؟।][\"”»)\s]*$")}) AS unfinished,
+    NOT closed AND NOT endswith(t, '```') AND (endswith(t, '..') OR NOT stopped AND NOT tail RLIKE {q(r"[.۔?!؟।][\"”»)\s]*$")}) AS unfinished,
     if(closed, concat(left(t, length(t) - length(tail)), regexp_replace(tail, {q(after)}, '\\n')), t) AS t
   FROM formed
 ), lined AS (
