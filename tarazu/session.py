@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +66,25 @@ def spread(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     if int(str(size)) > SPREAD_LIMIT_BYTES or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that they
+    find it although it isn't installed on their machines. The archive is the driver's own;
+    Spark serves it to the executors."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    where = os.path.join(tempfile.mkdtemp(prefix="tarazu-"), "tarazu.zip")
+    with zipfile.ZipFile(where, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(where)
+    _SHIPPED.add(app)
