@@ -180,18 +180,39 @@ def _batched(s, d):
     return enrich.plan_batches(_train(s, d).select("row_id", "instruction", "output"), 1000, 5, 42, skip=15)
 
 
-def batch_pack(s, d):
-    b = _batched(s, d)
+def _batched_all(s, d, *columns):
+    """All rows from the 16th on; texts only where they are named, as they are shuffled."""
+    t = _train(s, d).select("row_id", *columns).withColumn("_h", order.hash_of(42, "row_id"))
+    return order.batches(t, 5, "_h", "row_id").drop("_h").where(F.col("pos") >= 15)
+
+
+def _packed(b):
     return b.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n_rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "row_id"))), lambda x: x["row_id"].cast("string")), ",").alias("rows"))
 
 
-def batch_requests(s, d):
+def batch_pack(s, d):
+    return _packed(_batched(s, d))
+
+
+def batch_pack_all(s, d):
+    return _packed(_batched_all(s, d))
+
+
+def _request_fields(b):
     """Fields of the JSON request of each batch, read back from it."""
-    r = enrich.requests(_batched(s, d))
+    r = enrich.requests(b)
     items = F.from_json("request", jsonx.ITEMS)
     return r.select(F.col("batch").cast("long").alias("batch"), "n_rows", F.expr("cast(aggregate(from_json(request, 'array<struct<id:bigint>>'), 0L, (a, x) -> a + x.id) as bigint)").alias("id_sum"), F.md5(F.array_join(F.transform(items, lambda x: x["instruction"]), "|")).alias("instructions"))
 
 
+def batch_requests(s, d):
+    return _request_fields(_batched(s, d))
+
+
+def batch_requests_all(s, d):
+    return _request_fields(_batched_all(s, d, "instruction", "output"))
+
+
 def topic_cycle(s, d):
     topics = _t(s, d, "topics").select((F.col("topic_id") - 1).alias("pos"), "topic")
     slots = enrich.cycle(topics, 200, 7, 11)
@@ -396,3 +417,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         low_ratio_examples, steps_per_epoch, usage_totals, pair_duplicates, judge_labels, eval_languages, message_roles, document_text_columns,
     )
     return {f.__name__: f for f in each}
+
+
+def whole() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Queries over all rows whose namesakes have SQL over a sample; these have none."""
+    return {f.__name__: f for f in (batch_pack_all, batch_requests_all)}
