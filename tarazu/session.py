@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Below this many bytes of input files an operator bound by Python may be
-#: spread over all cores by a shuffle; above it files are plentiful and the
-#: scan's own partitions are used.
-SPREAD_LIMIT_BYTES = 64 << 20
-
 
 def build_session(cores: int | str = "*", app: str = "tarazu", **conf: str) -> SparkSession:
     """A local session with the settings that the engine's results rely on."""
@@ -24,28 +21,38 @@ def build_session(cores: int | str = "*", app: str = "tarazu", **conf: str) -> S
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
+    if "spark.checkpoint.dir" not in settings:
+        settings["spark.checkpoint.dir"] = _own_folder()
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def _own_folder(use: str = "checkpoints") -> str:
+    """A fresh folder that is removed when the driver ends. Only for local masters and for
+    what the driver itself serves."""
+    where = tempfile.mkdtemp(prefix=f"tarazu-{use}-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return where
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or on a local
-    master without that setting a fresh temporary folder."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Only a local
+    master, whose executor is the driver, gets one of its own where none is set."""
     sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(where)
-        return where
     current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and current.isDefined():
         return current.get()
-    if not sc.master.startswith("local"):
+    if not where and not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    where = os.path.join(tempfile.gettempdir(), "tarazu-checkpoints")
-    sc.setCheckpointDir(where)
+    where = where or _own_folder()
+    if current.isEmpty():
+        sc.setCheckpointDir(where)
     return where
 
 
@@ -57,13 +64,17 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Rows of a small input over all cores. A table of few files gives few
-    partitions, which leaves cores idle in Python-bound stages. Inputs above
-    SPREAD_LIMIT_BYTES are returned as they are: no shuffle of whole texts."""
+    """df with more partitions where a plain scan yields fewer than there are cores, as
+    a table in few files does, so that stages bound by Python leave none idle. Only scans
+    of files are looked at, by their file list: a plan with a shuffle is returned as it is,
+    and nothing is run. As a scan with as many splits as cores is never touched, whole
+    texts are shuffled only while they are fewer than cores times the split size."""
     spark = spark or df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SPREAD_LIMIT_BYTES or df.rdd.getNumPartitions() >= cores:
+    node = df._jdf.queryExecution().sparkPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    if "Scan" not in node.nodeName() or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
@@ -79,7 +90,7 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     package = os.path.dirname(os.path.abspath(__file__))
-    where = os.path.join(tempfile.mkdtemp(prefix="tarazu-"), "tarazu.zip")
+    where = os.path.join(_own_folder("package"), "tarazu.zip")
     with zipfile.ZipFile(where, "w") as z:
         for folder, _, names in os.walk(package):
             for n in names:
@@ -88,3 +99,22 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, os.path.dirname(package)))
     spark.sparkContext.addPyFile(where)
     _SHIPPED.add(app)
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver to the workers, once per application, and returns the
+    name under which `shipped` finds it there."""
+    mark = f"{spark.sparkContext.applicationId} {path}"
+    if mark not in _SHIPPED and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        _SHIPPED.add(mark)
+    return path
+
+
+def shipped(path: str) -> str:
+    """Where a worker finds a file that the driver sent, or that its machine has at the same path."""
+    if os.path.exists(path):
+        return path
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
