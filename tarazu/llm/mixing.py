@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarazu.session import materialize
+from tarazu.llm.tokens import DEFAULT_VOCABULARY, with_token_counts
+from tarazu.session import materialize, spread
 
 SEED = 42
 #: Records that meet in one bucket, about; open records of so many buckets meet in the next.
@@ -30,13 +31,19 @@ BYTES_PER_TOKEN = 64
 _EPS = 1e-9
 
 
-def usable_sizes(train: DataFrame) -> DataFrame:
-    """row_id, source and n_tokens of records that can be weighed. A size that is null,
-    not positive, above the bytes of the text (no tokenizer yields more) or below a
-    BYTES_PER_TOKEN-th of them can't be; nor can a record without source."""
+def sizes(train: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """row_id, source and n_tokens of every record with a source and an id. A stated size
+    that is null, not positive, above the bytes of the text (no tokenizer yields more) or
+    below a BYTES_PER_TOKEN-th of them is replaced by the exact count of the text, or
+    of the other fields where there is no text. n_tokens is null only where there is no
+    token at all. One scan; only texts that need a count go to Python."""
     n = F.octet_length("text")
     plausible = F.col("text").isNull() | ((F.col("n_tokens") <= n) & (F.col("n_tokens") * BYTES_PER_TOKEN >= n))
-    return train.select("row_id", "source", "n_tokens", "text").where((F.col("n_tokens") > 0) & F.col("source").isNotNull() & F.col("row_id").isNotNull() & plausible).select(F.col("row_id").cast("long"), "source", F.col("n_tokens").cast("long"))
+    fields = [c for c in ("instruction", "input", "output") if c in train.columns]
+    stated = F.when((F.col("n_tokens") > 0) & plausible, F.col("n_tokens").cast("long"))
+    rows = train.where(F.col("source").isNotNull() & F.col("row_id").isNotNull()).select(F.col("row_id").cast("long"), "source", stated.alias("stated"), F.coalesce("text", F.concat_ws("\n", *fields)).alias("text"))
+    counted = with_token_counts(spread(rows).withColumn("text", F.when(F.col("stated").isNull(), F.col("text"))), out="counted", path=path)
+    return counted.select("row_id", "source", F.coalesce("stated", F.when(F.col("counted") > 0, F.col("counted"))).alias("n_tokens"))
 
 
 def plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -44,13 +51,13 @@ def plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
     fractional copies of each record of the source. A named source without rows gets
     none and the others share the whole in proportion. Rows of targets without a
     positive share and max_repeats take no part."""
-    have = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_tokens").alias("size"))
+    have = rows.groupBy("source").agg(F.count("n_tokens").alias("n_records"), F.sum("n_tokens").alias("size"), F.count_if(F.col("n_tokens").isNull()).alias("n_not_weighed"))
     wanted = targets.select("mix_name", "source", "target_share", "max_repeats").where("mix_name is not null and target_share > 0 and max_repeats > 0")
     wanted = wanted.groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     both = wanted.join(have, "source", "left")
     whole = both.where("size > 0").groupBy("mix_name").agg(F.min(F.col("max_repeats") * F.col("size") / F.col("target_share")).alias("whole"))
     return both.join(whole, "mix_name", "left").select(
-        "mix_name", "source", "target_share", F.col("max_repeats").cast("int"), F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("size", F.lit(0)).alias("size"),
+        "mix_name", "source", "target_share", F.col("max_repeats").cast("int"), F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("n_not_weighed", F.lit(0)).alias("n_not_weighed"),
         F.coalesce(F.expr("least(double(max_repeats), target_share * whole / size)"), F.lit(0.0)).alias("copies"),
     )
 
@@ -102,14 +109,19 @@ def mix_records(train: DataFrame, targets: DataFrame, seed: int = SEED) -> DataF
     A hot source is split over buckets of about BUCKET_ROWS records by a hash of
     row_id; nothing but ids and sizes is shuffled, and a level of the tree holds one
     record per bucket. The result depends on the rows and the seed only. Records
-    that can't be weighed (see usable_sizes) are in no mixture; records with equal
-    row_id are rounded each for itself. Empty tables give no rows.
+    without any token (see sizes) are in no mixture; records with equal row_id are
+    rounded each for itself. Empty tables give no rows.
     """
-    rows = materialize(usable_sizes(train))
-    wanted = plan(rows, targets)
-    most = wanted.agg(F.max("n_records")).first()[0] or 0
-    buckets = max(1, -(-most // BUCKET_ROWS))
-    parts = rows.join(F.broadcast(_bounded(wanted)), "source").where("copies > 0")
+    return _mixed(train, targets, seed)[0]
+
+
+def _mixed(train: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    rows = materialize(sizes(train))
+    wanted = materialize(plan(rows, targets))
+    n_targets, most = wanted.agg(F.count(F.lit(1)), F.max("n_records")).first()
+    buckets = max(1, -(-(most or 0) // BUCKET_ROWS))
+    # a plan beyond PLAN_ROWS is joined as Spark sees fit
+    parts = rows.where("n_tokens is not null").join(F.broadcast(wanted) if n_targets <= PLAN_ROWS else wanted, "source").where("copies > 0")
     parts = parts.select("mix_name", "source", "row_id", "n_tokens", F.floor("copies").alias("whole"), (F.col("copies") - F.floor("copies")).alias("part"), "max_repeats")
     given = parts.where("whole > 0").select("mix_name", "row_id", "source", "n_tokens", F.col("whole").alias("repeats"))
     level, n = 0, buckets
@@ -129,33 +141,24 @@ def mix_records(train: DataFrame, targets: DataFrame, seed: int = SEED) -> DataF
     out = given
     for d in drawn:
         out = out.unionByName(d.select("mix_name", "row_id", "source", "n_tokens", F.lit(1).cast("long").alias("repeats")))
-    return out.groupBy("mix_name", "row_id", "source", "n_tokens").agg(F.sum("repeats").alias("repeats"))
+    return out.groupBy("mix_name", "row_id", "source", "n_tokens").agg(F.sum("repeats").alias("repeats")), wanted
 
 
 #: Rows of a plan, one per mixture and source, that may be broadcast: about 6 MB.
 PLAN_ROWS = 50_000
 
 
-def _bounded(wanted: DataFrame) -> DataFrame:
-    n = wanted.count()
-    if n > PLAN_ROWS:
-        raise ValueError(f"{n} targets; at most {PLAN_ROWS} are supported")
-    return wanted
-
-
 def mix_shares(train: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per target: the share reached beside the wanted one, the tokens and
-    records used, and how many of the source's records could not be weighed."""
-    used = mix_records(train, targets, seed).groupBy("mix_name", "source").agg(
+    records used, and how many of the source's records hold no token."""
+    records, planned = _mixed(train, targets, seed)
+    used = records.groupBy("mix_name", "source").agg(
         F.count(F.lit(1)).alias("n_records"), F.sum("repeats").alias("n_copies"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.max("repeats").alias("most_repeats")
     )
-    seen = train.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n_source"))
-    weighed = usable_sizes(train).groupBy("source").agg(F.count(F.lit(1)).alias("n_weighed"))
     wanted = targets.select("mix_name", "source", "target_share", "max_repeats")
     whole = used.groupBy("mix_name").agg(F.sum("n_tokens").alias("whole"))
-    out = wanted.join(used, ["mix_name", "source"], "left").join(whole, "mix_name", "left").join(seen, "source", "left").join(weighed, "source", "left")
+    out = wanted.join(used, ["mix_name", "source"], "left").join(whole, "mix_name", "left").join(planned.select("mix_name", "source", "n_not_weighed"), ["mix_name", "source"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select(
-        "mix_name", "source", "target_share", F.coalesce(F.expr("try_divide(n_tokens, whole)"), F.lit(0.0)).alias("share"), "max_repeats", zero("most_repeats"), zero("n_records"), zero("n_copies"), zero("n_tokens"),
-        (F.coalesce("n_source", F.lit(0)) - F.coalesce("n_weighed", F.lit(0))).alias("n_not_weighed"),
+        "mix_name", "source", "target_share", F.coalesce(F.expr("try_divide(n_tokens, whole)"), F.lit(0.0)).alias("share"), "max_repeats", zero("most_repeats"), zero("n_records"), zero("n_copies"), zero("n_tokens"), zero("n_not_weighed"),
     )

@@ -1,10 +1,12 @@
 """Filling fixed-capacity containers with documents (problem 8).
 
-Hierarchical packing over lengths. Documents go to the tier of the smallest
-window that holds them; tiers are packed from the longest down, each first into
-the gaps that longer tiers left and then into new containers of its own.
-Containers are dealt in turn, heaviest first, to step groups of equal number,
-so that the groups of a training step have balanced work.
+Hierarchical packing over several context sizes. A document is routed to the tier
+of the smallest window that holds it. From the longest tier down, each packs its
+documents into windows of its own size, and documents of shorter tiers fill the
+gaps that stay; the rest is left to their own tiers. The packed windows are then put
+together: those of short tiers go into the room that is left in longer ones, or
+side by side, until all lie in containers of the longest. Containers are dealt in turn, heaviest first, to step groups of equal number, so
+that the groups of a training step have balanced work.
 
 Items of one size are interchangeable, so the packing is decided on the counts
 per size, at most as many as a container has places: the driver's work and the
@@ -15,7 +17,7 @@ container from its size and its rank among documents of that size.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,42 +36,74 @@ STEP = 64
 #: Items of one size that are ranked in one task, about.
 RANKED_ROWS = 100_000
 
+#: Sizes of documents with the number of each, and so many equal windows that hold them.
+Held = tuple[tuple[int, int], ...]
+Groups = list[tuple[int, Held]]
+
+
+def _used(held: Held) -> int:
+    return sum(s * n for s, n in held)
+
+
+def _joined(a: Held, b: Held, times: int) -> Held:
+    both = Counter(dict(a))
+    for s, n in b:
+        both[s] += n * times
+    return tuple(sorted(both.items(), reverse=True))
+
+
+def _fill(items: Groups, capacity: int, windows: Groups = (), new: bool = True) -> tuple[Groups, Groups]:
+    """Windows of the capacity, and the items that aren't in them: the largest item first, each
+    whole, into the smallest gap of the windows that are there, else into a new one, if `new`."""
+    open_: dict[int, Groups] = defaultdict(list)  # gap -> groups of equal windows
+    for n, held in windows:
+        open_[capacity - _used(held)].append((n, held))
+    gaps, over = sorted(open_), []
+    for count, held in sorted(items, key=lambda g: (_used(g[1]), g[1]), reverse=True):
+        size, left = _used(held), count
+        while left:
+            at = bisect_left(gaps, size)
+            if at == len(gaps):
+                if not new:
+                    over.append((left, held))
+                    break
+                each = min(capacity // size, left)
+                n, gap, before = left // each, capacity, ()
+            else:
+                gap = gaps[at]
+                have, before = open_[gap].pop()
+                each = min(gap // size, left)
+                n = min(have, left // each)
+                if have > n:
+                    open_[gap].append((have - n, before))
+                if not open_[gap]:
+                    del open_[gap]
+                    gaps.pop(at)
+            left -= n * each
+            gap -= each * size
+            if gap not in open_:
+                insort(gaps, gap)
+            open_[gap].append((n, _joined(before, held, each)))
+    return [g for gap in sorted(open_) for g in open_[gap]], over
+
+
+def pack_tiers(counts: dict[int, int], capacity: int = CAPACITY, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, Groups]]:
+    """(window size, packed windows) of each tier, the longest first."""
+    if any(not 0 < s <= capacity for s in counts):
+        raise ValueError("sizes must be from 1 to the capacity")
+    bounds, left, out = [0, *sorted(capacity // t for t in tiers)], [(n, ((s, 1),)) for s, n in counts.items() if n], []
+    for low, window in reversed(list(zip(bounds, bounds[1:]))):
+        packed, _ = _fill([g for g in left if _used(g[1]) > low], window)
+        packed, left = _fill([g for g in left if _used(g[1]) <= low], window, packed, new=False)
+        out.append((window, packed))
+    return out
+
 
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[int]]]:
     """(number of containers, sizes in each) for counts of items by size, 1 to capacity."""
-    if any(not 0 < s <= capacity for s in counts):
-        raise ValueError("sizes must be from 1 to the capacity")
-    bounds = [0, *sorted(capacity // t for t in tiers)]
-    open_: dict[int, list[tuple[int, tuple]]] = defaultdict(list)  # gap -> groups of equal containers
-    gaps: list[int] = []
-    for low, high in reversed(list(zip(bounds, bounds[1:]))):
-        for size in range(high, low, -1):
-            left = counts.get(size, 0)
-            while left:
-                at = bisect_left(gaps, size)
-                if at == len(gaps):  # new containers, filled with as many of the size as fit
-                    each = min(capacity // size, left)
-                    n, gap, held = left // each, capacity, ()
-                else:
-                    gap = gaps[at]
-                    have, held = open_[gap].pop()
-                    each = min(gap // size, left)
-                    n = min(have, left // each)
-                    if have > n:
-                        open_[gap].append((have - n, held))
-                    if not open_[gap]:
-                        del open_[gap]
-                        gaps.pop(at)
-                left -= n * each
-                gap -= each * size
-                if gap not in open_:
-                    insort(gaps, gap)
-                open_[gap].append((n, (*held, (size, each))))
-    out = []
-    for groups in open_.values():
-        for n, held in groups:
-            sizes = [s for s, each in held for _ in range(each)]
-            out.append((n, sizes))
+    (_, longest), *shorter = pack_tiers(counts, capacity, tiers)
+    packed, _ = _fill([g for _, windows in shorter for g in windows], capacity, longest)
+    out = [(n, [s for s, each in held for _ in range(each)]) for n, held in packed]
     # the heaviest first: attention work goes with the squares of lengths
     return sorted(out, key=lambda g: (-sum(s * s for s in g[1]), g[1], g[0]))
 
@@ -82,8 +116,7 @@ class Plan:
         ranked: dict[int, int] = defaultdict(int)
         base = 0
         for n, sizes in packed:
-            for s in dict.fromkeys(sizes):
-                each = sizes.count(s)
+            for s, each in Counter(sizes).items():
                 first[s].append((ranked[s], base, each))
                 ranked[s] += n * each
             base += n
@@ -99,8 +132,6 @@ class Plan:
             out[own] = bases[at] + (ranks[own] - starts[at]) // each[at]
         turn, place = np.divmod(out, self.groups)
         return out, np.where(turn % 2 == 0, place, self.groups - 1 - place)
-
-
 def pieces(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, token_from, token_to (exclusive), size: whole documents, and of those
     that exceed the capacity full pieces and what remains."""
@@ -146,3 +177,9 @@ def packing_summary(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Containers, tokens and the share of room used, by the number of items in a container."""
     each = packed.groupBy("container").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.col("token_to") - F.col("token_from")).alias("used"))
     return each.groupBy("n_items").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), (F.sum("used") / (F.count(F.lit(1)) * capacity)).alias("fill"))
+
+
+def step_balance(packed: DataFrame) -> DataFrame:
+    """Containers, tokens and squares of lengths (the work of attention) of each step group."""
+    n = F.col("token_to") - F.col("token_from")
+    return packed.groupBy("step_group").agg(F.count_distinct("container").alias("n_containers"), F.sum(n).alias("n_tokens"), F.sum(n * n).alias("squares"))

@@ -36,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_ids": lambda s, d: tokens.token_ids(documents(s, d)),
         "p8_containers": lambda s, d: packing.pack_documents(documents(s, d)),
         "p8_fill": lambda s, d: packing.packing_summary(packing.pack_documents(documents(s, d))),
+        "p8_steps": lambda s, d: packing.step_balance(packing.pack_documents(documents(s, d))),
         "p9_found": lambda s, d: truncation.cut_documents(documents(s, d)),
         "p9_shares": lambda s, d: truncation.cut_shares(documents(s, d)),
     }
@@ -75,4 +76,5 @@ hit AS (SELECT DISTINCT row_id, id FROM tg JOIN pg USING (g))
         "p2_classes": both + " SELECT row_id, min(row_id) OVER w AS class_id, len(list(DISTINCT [instruction, output]) OVER w) AS n_spellings FROM f WHERE i IS NOT NULL AND o IS NOT NULL WINDOW w AS (PARTITION BY i, o)",
         "p2_consistent": both + " SELECT row_id, i AS instruction, o AS output FROM f",
         "p5_found": leaked + " SELECT row_id, id FROM hit",
+        "p5_records": leaked + " SELECT row_id, count(*) AS n_prompts, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM hit GROUP BY row_id",
     }

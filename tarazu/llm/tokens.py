@@ -8,7 +8,7 @@ themselves; and every prefix of a text has exactly one last token.
   tokens that are final once the walk fails at a node, so a piece is split in
   linear time into its longest matches. Byte-level BPE isn't a longest-match
   vocabulary: the split counts only if all its neighbours are compatible, and
-  the few other pieces are encoded exactly.
+  the other pieces are encoded exactly.
 * Encoding keeps the last token of every prefix. An automaton of the vocabulary
   names the tokens that end at a place, and the one that is compatible with the
   last token of the prefix before it is stored; back-pointers give the ids.
@@ -29,9 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarazu.session import spread
+from tarazu.session import ship_file, shipped, spread
 
-#: The vocabulary that the queries use; every operator takes another path.
+#: The vocabulary that the queries use; every operator takes another path. The file is
+#: the driver's; the workers get it with the job.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the published split of this family of tokenizers.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,7 +53,7 @@ class Vocabulary:
     """Tokens of a byte-level BPE as latin-1 strings, with the merge that made each."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(shipped(path), encoding="utf-8") as f:
             model = json.load(f)["model"]
         byte = _printable()
         as_bytes = lambda s: "".join(chr(byte[c]) for c in s)
@@ -245,6 +246,7 @@ def with_token_counts(df: DataFrame, text: str = "text", out: str = "tokens", pa
     if out in df.columns:
         raise ValueError(f"there is a column {out} already")
     at, names = df.columns.index(text), [*df.columns, out]
+    ship_file(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
@@ -258,20 +260,21 @@ def with_token_counts(df: DataFrame, text: str = "text", out: str = "tokens", pa
 
 def token_totals(train: DataFrame, documents: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """Records, texts and tokens of both tables by source, language and category
-    (domain for documents), null groups included.
+    (domain for documents), null groups included; n_stated is the sum of the sizes
+    above 0 that train states for the same texts, by another tokenizer.
 
-    The texts never leave their partition: three label columns and a count come
+    The texts never leave their partition: three label columns and two numbers come
     back from Python, and partial sums precede the one small shuffle, so a source
     that holds most of the rows costs no more than others. Null texts count as
     records with no tokens. Empty tables give no rows.
     """
-    columns = ["source", "lang", "category", "text"]
+    stated = F.when((F.col("n_tokens") > 0) & F.col("text").isNotNull(), F.col("n_tokens").cast("long"))
     both = [
-        spread(t.select(*columns)).transform(with_token_counts, path=path).withColumn("table_name", F.lit(name))
-        for name, t in (("train", train), ("documents", documents.withColumn("category", F.col("domain"))))
+        spread(t.select("source", "lang", "category", "text", "stated")).transform(with_token_counts, path=path).withColumn("table_name", F.lit(name))
+        for name, t in (("train", train.withColumn("stated", stated)), ("documents", documents.withColumns({"category": F.col("domain"), "stated": F.lit(None).cast("long")})))
     ]
     return both[0].unionByName(both[1]).groupBy("table_name", "source", "lang", "category").agg(
-        F.count(F.lit(1)).alias("n_records"), F.count("tokens").alias("n_texts"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens")
+        F.count(F.lit(1)).alias("n_records"), F.count("tokens").alias("n_texts"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"), F.sum("stated").alias("n_stated")
     )
 
 
@@ -283,6 +286,7 @@ def token_counts(df: DataFrame, key: str, path: str = DEFAULT_VOCABULARY) -> Dat
 def token_ids(documents: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """doc_id and the ids of each text; the empty list for empty and null texts.
     Strings of special tokens are ordinary text; no character is changed."""
+    ship_file(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode

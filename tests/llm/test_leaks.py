@@ -1,4 +1,5 @@
 import random
+import time
 
 from tarazu.llm import leaks
 
@@ -36,5 +37,25 @@ def test_forms_blocks_and_empty(spark, make_train, monkeypatch):
     assert {tuple(r) for r in leaks.leaked_pairs(df.unionByName(df), prompts).collect()} == wanted
     monkeypatch.setattr(leaks, "BLOCK_CHARACTERS", 10)
     assert {tuple(r) for r in leaks.leaked_pairs(df, prompts).collect()} == wanted
-    assert leaks.leaked_records(df, prompts).where("row_id = 1").first().ids == [1, 4]
+    assert leaks.leaked_records(df, prompts).where("row_id = 1").first() == (1, 2, "1,4")
     assert leaks.leaked_pairs(df, prompts.limit(0)).count() == 0 and leaks.leaked_pairs(make_train(), prompts).count() == 0
+
+
+def test_one_table_for_all_tasks_of_a_worker():
+    rng = random.Random(3)
+    block = [(k, " ".join(f"w{rng.randrange(90_000)}" for _ in range(200))) for k in range(600)]
+
+    class Sent:
+        value = (block, 8)
+
+    leaks._LAST.clear()
+    table = leaks._table("a", Sent)
+    began = time.perf_counter()
+    assert all(leaks._table("a", Sent) is table for _ in range(1000)) and time.perf_counter() - began < 0.1
+    assert leaks._table("b", Sent) is not table and len(leaks._LAST) == 1
+
+
+def test_patterns_that_repeat():
+    texts = [(k, "a b " * 300) for k in range(5)]
+    search = leaks.WuManber(texts, 8)
+    assert search.find("x a b a b a b a b x") == set(range(5)) and search.find("a b " * 3) == set()

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarazu.llm import mixing
+from tarazu.llm.tokens import encoder
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +38,13 @@ def test_same_result_wherever_rows_lie(rows, targets):
     assert len({(m, i) for m, i, *_ in one}) == len(one)
 
 
-def test_unusable_sizes_and_nothing(spark, rows, targets, make_train):
+def test_sizes_that_are_not_stated_and_nothing(spark, rows, targets, make_train, vocabulary_path):
     bad = make_train(*[{"row_id": k, "source": s, "n_tokens": n, "text": t} for k, (s, n, t) in enumerate([("a", None, "x"), ("a", 0, "x"), ("a", -3, "x"), ("a", 99, "short"), ("a", 1, "y" * 999), (None, 5, "x" * 9), ("a", 5, None), ("a", 5, "x" * 9)])])
-    assert sorted(r.row_id for r in mixing.usable_sizes(bad).collect()) == [6, 7]
+    exact = encoder(vocabulary_path).encode
+    assert {r.row_id: r.n_tokens for r in mixing.sizes(bad).collect()} == {0: 1, 1: 1, 2: 1, 3: len(exact("short")), 4: len(exact("y" * 999)), 6: 5, 7: 5}
+    blank = make_train({"row_id": 1, "source": "a"}, {"row_id": 2, "source": "a", "text": ""}, {"row_id": 3, "source": "a", "instruction": "some words", "output": "more"})
+    assert {r.row_id: r.n_tokens for r in mixing.sizes(blank).collect()} == {1: None, 2: None, 3: len(exact("some words\nmore"))}
+    assert {(r.mix_name, r.source): r.n_not_weighed for r in mixing.mix_shares(blank, targets).collect()}["m", "a"] == 2
     assert mixing.mix_records(make_train(), targets).count() == 0
     assert mixing.mix_records(rows, targets.limit(0)).count() == 0
     none = mixing.mix_shares(make_train(), targets).collect()
@@ -48,7 +53,13 @@ def test_unusable_sizes_and_nothing(spark, rows, targets, make_train):
 
 def test_rounding_is_unbiased(rows, targets):
     """Over seeds a record is chosen about as often as its fraction says."""
-    p = {r.source: r.copies for r in mixing.plan(mixing.usable_sizes(rows), targets.where("mix_name = 'm'")).collect()}
+    p = {r.source: r.copies for r in mixing.plan(mixing.sizes(rows), targets.where("mix_name = 'm'")).collect()}
     hits = sum(mixing.mix_records(rows.where("row_id < 400"), targets.where("mix_name = 'm'"), seed).where("source = 'a'").count() for seed in range(6))
-    small = {r.source: r for r in mixing.plan(mixing.usable_sizes(rows.where("row_id < 400")), targets.where("mix_name = 'm'")).collect()}["a"]
+    small = {r.source: r for r in mixing.plan(mixing.sizes(rows.where("row_id < 400")), targets.where("mix_name = 'm'")).collect()}["a"]
     assert p and abs(hits / 6 - min(1, small.copies) * small.n_records) < 20
+
+
+def test_more_targets_than_are_broadcast(rows, targets, monkeypatch):
+    few = sorted(map(tuple, mixing.mix_records(rows, targets).collect()))
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 2)
+    assert sorted(map(tuple, mixing.mix_records(rows, targets).collect())) == few

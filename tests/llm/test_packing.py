@@ -77,3 +77,28 @@ def test_empty_null_and_copies(make_documents, vocabulary_path):
     assert packing.pack_documents(d.limit(0)).count() == 0
     assert packing.pack_documents(d.limit(2)).count() == 0
     assert sum(r.n_tokens for r in packing.packing_summary(packing.pack_documents(d)).collect()) == sum(r.token_to - r.token_from for r in rows)
+
+
+def test_tiers_change_the_plan_and_fill_as_well():
+    rng = random.Random(7)
+    counts = {}
+    for _ in range(20_000):
+        s = rng.randrange(300, 700)
+        counts[s] = counts.get(s, 0) + 1
+    tiered, flat = (packing.pack_counts(counts, 2048, t) for t in ((8, 4, 2, 1), (1,)))
+    assert tiered != flat and sum(n for n, _ in tiered) <= sum(n for n, _ in flat)
+    for window, packed in packing.pack_tiers(counts):
+        assert all(packing._used(held) <= window for _, held in packed)
+        assert any(n for n, held in packed) == any(window // 2 < s <= window for s in counts)
+
+
+def test_gaps_are_filled_from_shorter_tiers():
+    windows = dict(packing.pack_tiers({1500: 1, 500: 1, 40: 1, 8: 1, 600: 1, 400: 1}))
+    assert windows[2048] == [(1, ((1500, 1), (500, 1), (40, 1), (8, 1)))] and windows[1024] == [(1, ((600, 1), (400, 1)))]
+
+
+def test_step_groups_are_balanced(documents, vocabulary_path, monkeypatch):
+    rows = packing.step_balance(packing.pack_documents(documents)).collect()
+    assert sum(r.n_containers for r in rows) == packing.pack_documents(documents).select("container").distinct().count()
+    if len(rows) > 1:
+        assert max(r.squares for r in rows) < 1.5 * min(r.squares for r in rows)
