@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,17 +47,31 @@ HIDDEN = r"[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F
 BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
+# Tables of the SQL, written apart from the operator's.
+TWINS = (
+    "АаВЕеЅѕІіЈјКМНОоРрСсТУуХхԁһ" "ΑΒΕΖΗΙΚΜΝΟοΡΤΥΧν",
+    "AaBEeSsIiJjKMHOoPpCcTYyXxdh" "ABEZHIKMNOoPTYXv",
+)
+SIGNS = r"\x{64B}-\x{65F}\x{670}\x{6D6}-\x{6DC}\x{6DF}-\x{6E4}\x{6E7}\x{6E8}\x{6EA}-\x{6ED}"
+JOINING = r"\x{620}\x{622}-\x{64A}\x{66E}\x{66F}\x{671}-\x{6D3}\x{6D5}\x{6FA}-\x{6FC}\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8C7}"
+
+
+def _folded() -> tuple[str, str]:
+    """Wide and presentation forms of one letter, look-alikes, and digits drawn alike in both Arabic sets."""
+    wide = {chr(c): f for block in (range(0xFB50, 0xFE00), range(0xFE70, 0xFEFD), range(0xFF01, 0xFF5F)) for c in block if len(f := unicodedata.normalize("NFKC", chr(c))) == 1 and f != chr(c)}
+    pairs = wide | dict(zip(*TWINS, strict=True)) | dict(zip("٠١٢٣٧٨٩", "۰۱۲۳۷۸۹"))
+    return "".join(pairs), "".join(pairs.values())
+
+
 def _consistent_sql(x: str) -> str:
     """The consistent form in SQL, for texts whose look-alike letters all stand for Latin
     ones, as in the tables here; tokens of real Cyrillic or Greek need the operator."""
-    drop = "كيى"  # these depend on their place or come after composition
-    pairs = [(a, b) for a, b in zip(*truncation._one_to_one()) if a not in drop]
-    old, new = ("".join(p).replace("'", "''") for p in zip(*pairs))
+    old, new = (t.replace("'", "''") for t in _folded())
     x = f"nfc_normalize(translate(regexp_replace({x}, '{HIDDEN}', '', 'g'), '{old}', '{new}'))"
     x = f"replace(translate({x}, 'ى', 'ی'), 'ی' || chr(1620), 'ئ')"
     for a, b in (("ك", "ک"), ("ي", "ی")):
         for _ in range(2):  # letters in a row overlap
-            x = f"regexp_replace({x}, '{a}([{normal._MARKS}]*[{normal._JOINS}])', '{b}\\1', 'g')"
+            x = f"regexp_replace({x}, '{a}([{SIGNS}]*[{JOINING}])', '{b}\\1', 'g')"
     return f"trim(regexp_replace({x}, '{BLANKS}', ' ', 'g'))"
 
 

@@ -39,7 +39,7 @@ SEEN_ENDINGS, ENDING_SHARE = 30, 0.005
 def _one_to_one() -> tuple[str, str]:
     """Letters in presentation or wide form, look-alikes and variants with their plain letter."""
     pairs = {chr(c): f for c in (*range(0xFB50, 0xFE00), *range(0xFE70, 0xFEFD), *range(0xFF01, 0xFF5F)) if len(f := unicodedata.normalize("NFKC", chr(c))) == 1 and f != chr(c)}
-    pairs |= {a: b for a, b in normal._SPELL["Latn"].items()} | {"ك": "ک", "ي": "ی", "ى": "ی", "ە": "ہ"} | {chr(c): t for c, t in normal._SAME.items()}
+    pairs |= normal.LATIN | {"ك": "ک", "ي": "ی", "ى": "ی", "ە": "ہ"} | {chr(c): t for c, t in normal._SAME.items()}
     return "".join(pairs), "".join(pairs.values())
 
 

@@ -35,6 +35,23 @@ def test_script_spelling():
     assert consistent("Привет мир") == "Привет мир"
 
 
+@pytest.mark.parametrize("a, b", [("Ꭺpple", "Apple"), ("ꓐob", "Bob"), ("ραy", "pay"), ("ⲟne", "one"), ("Ⅷ", "VIII"), ("ոο", "no"), ("Ꮮⲟck", "Lock"), ("کаfe", "کafe")])
+def test_look_alikes_of_any_script(a, b):
+    assert consistent(a) == consistent(b) == b
+
+
+@pytest.mark.parametrize("text", ["Москва сухо", "сухо в Москве", "Это хор и рост, а не сон.", "Καλή αγορά του Μάη", "Ես օր ունեմ"])
+def test_real_text_of_other_scripts_stays(text):
+    assert consistent(text) == text
+
+
+def test_neighbours_decide():
+    assert consistent("the сор is дом") == "the cop is дом" and consistent("дом cop") == consistent("дом сор") == "дом сор"
+    assert normal.resolved("Mосква") == {"Cyrl"} and normal.scripts("Mосква") == set() and {"Latn", "Cyrl"} <= normal.resolved("сор")
+    long = "а" * 300 + " " + "сон " * 20_000
+    assert consistent(f"дом {long}") == f"дом {long}".strip() and consistent(f"find {long}").isascii()
+
+
 def brute(rows):
     out = set()
     for (i, a, b), (j, c, d) in itertools.combinations(rows, 2):
@@ -58,6 +75,13 @@ def test_hot_group_nulls_and_repeats(make_train):
     assert classes[201] == (0, 3) and classes[205] == (204, 2) and 202 not in classes
 
 
+def test_a_class_over_several_tasks(make_train, monkeypatch):
+    monkeypatch.setattr(normal, "CLASS_ROWS", 7)
+    rows = [(k, "same", "x" + " " * (k % 3) + " y") for k in range(60)]
+    got = [tuple(r) for r in normal.same_looking_pairs(make_train(*[{"row_id": i, "instruction": a, "output": b} for i, a, b in rows])).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
 def test_nothing(make_train):
     assert normal.same_looking_pairs(make_train()).count() == 0
     assert normal.consistent_fields(make_train({"row_id": 1, "instruction": None, "output": "ａ"})).first()[:] == (1, None, "a")
