@@ -2,13 +2,17 @@
 
 Units are lines and sentences. All word trigrams of finished units are counted,
 inside units and at their ends. A document whose last unit has no final stop is
-judged by its last three words: trigrams that are frequent inside units but
-almost never end one mark a cut. Where the trigram is rare, the same test runs
-on the place (which third words follow the first two), on the last two words and
-on the last word, and words that are broken off are found as proper beginnings
-of words, or as endings never seen, in that place. Open code blocks, broken chat
-markers and half characters are cuts by form. Marks that authors put
-after a finished text (signatures, emoji, rules, end lines, references) end it.
+judged by its final trigram: one that is frequent inside units but almost never ends
+one marks a cut. The same is asked of the trigrams that share its first two words: a
+last word that there only begins longer ones is broken off, and a place whose third
+words almost never end a unit doesn't end one now. Where trigrams are too rare, the
+counts back off to the last two words and then to the last word. Open code blocks,
+broken chat markers, bare list items and half characters are cuts by form. Marks that
+authors put after a finished text (signatures, emoji, rules, end lines, references)
+end it.
+
+A text is read once and split once. Its first two words of a trigram leave as
+hashes, the third as it is, since its beginnings are compared.
 """
 
 from __future__ import annotations
@@ -43,140 +47,129 @@ def _one_to_one() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
-#: Characters at the end of a text in which what follows it is looked for; rules of signs may be longer.
-TAIL = 300
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+#: What may follow a finished text: end marks of chats, references, emoji, signatures, end lines.
+AFTER = (
+    r"(?<!\s)(?:\s*+(?:[\"”»)]\s*+)?(?:<\|(?:im_end|endoftext)\|>|\(\d+\)|\[\d+\]|[\p{So}\x{1F3FB}-\x{1F3FF}&&[^\x{FFFD}]]+)|(?:[^\S\n]*+\n|(?<=\|>))\s*+(?:[*=_~]+|[*=_~#-]{3,}|— ?[^\n]{1,60}|THE END|The end|Tamam shud|ختم شد|تمام شد)|\s*+[\"”»)])+$"
+)
 
 
 def _words(source: str) -> str:
-    """WITH clause up to `words`: the units of each text as arrays of words. Two empty
-    words precede a unit, numbers are 0, and words of list items are marked, since
-    what ends an item seldom ends a sentence. Patterns run over whole texts before
-    they are split, and the costly ones only where a cheap one finds something."""
+    """WITH clause of `words`: the tokens of the finished units of each text, and those
+    of a last unit without stop. Two line ends come before each unit, numbers are 0, and
+    words of list items are marked, since what ends an item seldom ends a sentence.
+    Costly patterns run only where a cheap test finds something."""
     old, new = _one_to_one()
     hidden = r"[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
     blanks = r"[\r\x{85}\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\t]"
     # signs that don't stay as they are; a negated class of all others takes Java many times as long
     odd = r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{FF00}-\x{FFEF}\x{370}-\x{58F}\x{643}\x{649}\x{64A}\x{660}-\x{669}\x{6D5}\x{2000}-\x{200F}\x{2028}-\x{206F}\r\t\x{85}\x{A0}\x{AD}\x{34F}\x{61C}\x{180E}\x{3000}\x{FE00}-\x{FE0F}]"
-    # what may follow a finished text: end marks of chats, references, emoji, signatures, end lines
-    after = (
-        r"(?:\s*[\"”»)]?\s*(?:<\|(?:im_end|endoftext)\|>|\(\d+\)|\[\d+\]|[\p{So}\x{1F3FB}-\x{1F3FF}&&[^\x{FFFD}]]+|\n\s*(?:[*=_~]+|[*=_~#-]{3,})|(?:\n|\|>)\s*— ?[^\n]{1,60}|\n\s*(?:THE END|The end|Tamam shud|ختم شد|تمام شد)))+\s*[\"”»)]?$"
+    signs = r"[\"“”()\[\]*#=.۔?!؟।…\x{FFFD} ]+"
+    one_row = lambda **columns: "LATERAL VIEW inline(array(named_struct(" + ", ".join(f"'{k}', {x}" for k, x in columns.items()) + "))) AS " + ", ".join(columns)
+    # each step is a generator of one row: the optimizer would else write its expression
+    # into every place that uses it, and patterns would run many times
+    steps = (
+        one_row(t0=f"if(text RLIKE {_q(odd)}, regexp_replace(regexp_replace(translate(text, {_q(old)}, {_q(new)}), {_q(hidden)}, ''), {_q(blanks)}, ' '), text)"),
+        one_row(t1="trim(TRAILING ' \\n\\t\\u000b\\u000c' FROM t0)"),
+        one_row(t2="if(instr('*=_~#-', right(t1, 1)) > 0, trim(TRAILING '*=_~#- \\n' FROM t1), t1)"),
+        one_row(ruled=f"t2 <> t1 AND substring(t1, length(t2) + 1) RLIKE {_q(r'^[ ]*\n\s*(?:[*=_~]+|[*=_~#-]{3,})')}"),
+        one_row(t3="if(ruled, t2, t1)"),
+        one_row(stopped="t3 <> '' AND instr('.۔?!؟।', right(t3, 1)) > 0"),
+        one_row(closed=f"ruled OR NOT stopped AND t3 RLIKE {_q(AFTER)}"),
+        one_row(
+            open_code="instr(t3, '```') > 0 AND (length(t3) - length(replace(t3, '```', ''))) % 6 = 3 OR endswith(t3, '\\n`') OR endswith(t3, '\\n``')",
+            open_mark=f"NOT stopped AND instr(t3, '<|') > 0 AND t3 RLIKE {_q(r'<\|[a-z_]*\|?$')}",
+            broken=f"NOT stopped AND endswith(t3, '\ufffd') AND t3 RLIKE {_q(r'[\p{L}\p{M}\p{N},،:-] *\x{FFFD}+$')}",
+            bare_item=f"right(t3, 1) IN ('-', '.', ')') AND t3 RLIKE {_q(r'(?:^|\n) *(?:-|\d+[.)])$')}",
+            unfinished="NOT closed AND NOT endswith(t3, '```') AND (endswith(t3, '..') OR NOT stopped)",
+        ),
+        one_row(t4=f"if(closed AND NOT ruled, regexp_replace(t3, {_q(AFTER)}, '\\n'), t3)"),
+        one_row(t5=f"if(instr(t4, '```') > 0, regexp_replace(t4, {_q(r'(?s)```.*?(?:```|$)')}, '\\n'), t4)"),
+        one_row(t6=f"if(instr(t5, '<|') > 0, regexp_replace(t5, {_q(r'<\|[a-z_]+\|>')}, '\\n'), t5)"),
+        one_row(t7=f"concat(' \\n \\n ', regexp_replace(t6, {_q(r'(?<=[.۔?!؟।])\s++|(?<! ) *+\n\s*+')}, ' \\n \\n '))"),
+        one_row(t8=f"if(t7 RLIKE {_q(r'\n [-•*] ')}, regexp_replace(regexp_replace(regexp_replace(t7, {_q(r'(?<=\n )[-•*] +')}, '• '), {_q(signs)}, ' '), {_q(r'(?:(?<=\n )• +|\G)([^ \n]+) *')}, '$1• '), t7)"),
+        one_row(t9="trim(TRAILING ' \\n' FROM regexp_replace(t8, '[0-9۰-۹٠-٩]+', '0'))"),
+        one_row(tail="if(unfinished, substring_index(t9, '\\n', -1), '')"),
+        one_row(body="if(unfinished, left(t9, length(t9) - length(tail)), concat(t9, ' \\n'))"),
+        one_row(w=f"split(concat(trim(BOTH ' ' FROM body), ' '), {_q(signs)})", z=f"split(concat('\\n \\n ', trim(BOTH ' ' FROM regexp_replace(tail, {_q(signs)}, ' '))), ' ')"),
+        one_row(c="get(z, size(z) - 1)"),
+        one_row(asked="unfinished AND c NOT IN ('\\n', '')"),
+        one_row(marks="int(open_code) + 2 * int(open_mark) + 4 * int(bare_item) + 8 * int(broken) + 16 * int(unfinished) + 32 * int(asked AND body RLIKE concat('[ \\n]\\\\Q', replace(c, '\\\\E', ''), '\\\\E[^ \\n]{2}'))"),
     )
-    q = lambda pattern: "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    signs = r"[\"“”()\[\]*#=.۔?!؟।…\x{FFFD}]+"
-    return f"""
-WITH plain AS (
-  SELECT doc_id, source, if(text RLIKE {q(odd)}, regexp_replace(regexp_replace(translate(text, {q(old)}, {q(new)}), {q(hidden)}, ''), {q(blanks)}, ' '), text) AS t0
-  FROM {source} WHERE doc_id IS NOT NULL AND text IS NOT NULL
-), stripped AS (
-  SELECT doc_id, source, t, trim(TRAILING '*=_~#- \\n' FROM t) AS t1 FROM (SELECT doc_id, source, trim(TRAILING ' \\n\\t\\u000b\\u000c' FROM t0) AS t FROM plain) WHERE t <> ''
-), ruled AS (
-  SELECT doc_id, source, t, t1 <> t AND substring(t, length(t1) + 1) RLIKE {q(r"^[ ]*\n\s*(?:[*=_~]+|[*=_~#-]{3,})")} AS ruled, t1 FROM stripped
-), bodied AS (
-  SELECT doc_id, source, ruled, if(ruled, t1, t) AS t, right(if(ruled, t1, t), {TAIL}) AS tail, instr('.۔?!؟।', right(if(ruled, t1, t), 1)) > 0 AS stopped FROM ruled
-), formed AS (
-  SELECT doc_id, source, t, tail, stopped,
-    instr(t, '```') > 0 AND (length(t) - length(replace(t, '```', ''))) % 6 = 3 OR endswith(t, '\\n`') OR endswith(t, '\\n``') AS open_code,
-    NOT stopped AND right(tail, 40) RLIKE {q(r"<\|[a-z_]*\|?$")} AS open_mark,
-    NOT stopped AND right(tail, 40) RLIKE {q(r"[\p{L}\p{M}\p{N},،:-]\s*\x{FFFD}+$")} AS broken,
-    right(tail, 20) RLIKE {q(r"(?:^|\n)\s*(?:-|\d+[.)])$")} AS bare_item,
-    ruled OR NOT stopped AND tail RLIKE {q(after)} AS closed
-  FROM bodied
-), cut_up AS (
-  SELECT doc_id, source, open_code, open_mark, broken, bare_item,
-    NOT closed AND NOT endswith(t, '```') AND (endswith(t, '..') OR NOT stopped AND NOT tail RLIKE {q(r"[.۔?!؟।][\"”»)\s]*$")}) AS unfinished,
-    if(closed, concat(left(t, length(t) - length(tail)), regexp_replace(tail, {q(after)}, '\\n')), t) AS t
-  FROM formed
-), lined AS (
-  SELECT * EXCEPT (t, u), regexp_replace(if(instr(t, '<|') > 0, regexp_replace(u, {q(r"<\|[a-z_]+\|>")}, '\\n'), u), {q(r"(?<=[.۔?!؟।])\s+")}, '\\n') AS v
-  FROM (SELECT *, if(instr(t, '```') > 0, regexp_replace(t, {q(r"(?s)```.*?(?:```|$)")}, '\\n'), t) AS u FROM cut_up)
-), split_up AS (
-  SELECT * EXCEPT (v), split(regexp_replace(regexp_replace(if(v RLIKE {q(r"(?m)^ *[-•*] ")}, regexp_replace(v, {q(r"(?m)^ *[-•*] ")}, '• '), v), '[0-9۰-۹٠-٩]+', '0'), {q(signs)}, ' '), {q(r"\s*\n\s*")}) AS units
-  FROM lined
-), words AS (
-  SELECT * EXCEPT (units), filter(transform(units, u -> concat(array('', ''), if(startswith(u, '• '),
-      transform(filter(split(substring(u, 3), ' +'), w -> w <> ''), w -> concat(w, ' •')),
-      filter(split(u, ' +'), w -> w <> '')))), u -> size(u) > 3 OR size(u) = 3 AND u[2] RLIKE {q(r"[\p{L}\p{N}]")}) AS units
-  FROM split_up
-)
-"""
+    return "WITH words AS (SELECT doc_id, source, marks, w, z, c, asked FROM " + source + "\n" + "\n".join(steps) + "\nWHERE t1 <> '')"
 
 
+#: One row of counts for each trigram, and one for each document with its marks and its final
+#: trigram, if that is asked about; the word after the last one stands for the document.
 _COUNTED = """
-SELECT w.doc_id, w.source, w.marks, w.w1, w.w2, w.w3, count(*) AS n, count_if(w.ends) AS e
+SELECT doc_id, source, marks, xxhash64(w1, w2) AS h12, xxhash64(w2) AS h2, w3, count(*) AS n, count_if(ends) AS e
 FROM (
-  SELECT explode(concat(
-    flatten(transform(if(unfinished AND size(units) > 0, slice(units, 1, size(units) - 1), units),
-      u -> transform(sequence(3, size(u)), i -> named_struct('doc_id', CAST(NULL AS BIGINT), 'source', CAST(NULL AS STRING), 'marks', 0, 'w1', u[i - 3], 'w2', u[i - 2], 'w3', u[i - 1], 'ends', i = size(u))))),
-    array(named_struct('doc_id', CAST(doc_id AS BIGINT), 'source', source,
-      'marks', int(open_code) + 2 * int(open_mark) + 4 * int(bare_item) + 8 * int(broken) + 16 * int(unfinished)
-        + 32 * int(unfinished AND coalesce(exists(flatten(units), w -> startswith(w, last[size(last) - 1]) AND length(w) >= length(last[size(last) - 1]) + 2), FALSE)),
-      'w1', if(unfinished, try_element_at(last, -3), NULL), 'w2', if(unfinished, try_element_at(last, -2), NULL), 'w3', if(unfinished, try_element_at(last, -1), NULL), 'ends', FALSE)))) AS w
-  FROM (SELECT *, try_element_at(units, -1) AS last FROM words)
-) GROUP BY ALL
+  SELECT if(last, CAST(doc_id AS BIGINT), NULL) AS doc_id, if(last, source, NULL) AS source, if(last, marks, 0) AS marks, last, if(last, get(z, size(z) - 3), get(w, i - 2)) AS w1, if(last, get(z, size(z) - 2), get(w, i - 1)) AS w2,
+    if(last, if(asked, c, NULL), t) AS w3, NOT last AND get(w, i + 1) = '\n' AS ends
+  FROM (SELECT *, i = size(w) - 1 AS last FROM words LATERAL VIEW posexplode(w) AS i, t)
+) WHERE last OR w3 <> '\n' AND w3 <> ''
+GROUP BY ALL
 """
 
 _JUDGED = f"""
 WITH grams AS (
-  SELECT w1, w2, w3, n, e FROM {{counted}} WHERE doc_id IS NULL
+  SELECT h12, h2, w3, n, e, rtrim('•', w3) AS bare, if(endswith(w3, '•'), '•', '') AS mark FROM {{counted}} WHERE doc_id IS NULL
 ), tails AS (
-  SELECT doc_id, source, n AS copies, w1 AS a, w2 AS b, w3 AS c, marks & 1 > 0 AS open_code, marks & 2 > 0 AS open_mark, marks & 4 > 0 AS bare_item, marks & 8 > 0 AS broken, marks & 16 > 0 AS unfinished, marks & 32 > 0 AS longer_here
+  SELECT doc_id, source, n AS copies, h12, h2, w3 AS c, marks & 1 > 0 AS open_code, marks & 2 > 0 AS open_mark, marks & 4 > 0 AS bare_item, marks & 8 > 0 AS broken, marks & 16 > 0 AS unfinished, marks & 32 > 0 AS longer_here
   FROM {{counted}} WHERE doc_id IS NOT NULL
 ), asked AS (
-  SELECT DISTINCT a, b, c FROM tails WHERE c IS NOT NULL
+  SELECT DISTINCT h12, h2, c FROM tails WHERE c IS NOT NULL
+), places AS (
+  SELECT h12, collect_set(length(rtrim('•', c))) AS lengths FROM asked GROUP BY h12
+), before AS (
+  SELECT h2, collect_set(length(rtrim('•', c))) AS lengths FROM asked GROUP BY h2
+), any_length AS (
+  SELECT collect_set(length(rtrim('•', c))) AS lengths FROM asked
 ), two AS (
-  SELECT w2, w3, sum(n) AS n, sum(e) AS e FROM grams GROUP BY ALL
-), here AS (
-  SELECT * FROM grams LEFT SEMI JOIN (SELECT DISTINCT a, b FROM asked) ON w1 = a AND w2 = b
-), place AS (
-  SELECT w1, w2, sum(n) AS n, sum(e) AS e FROM here GROUP BY ALL
-), endings AS (
-  SELECT w1, w2, right(w3, 3) AS ending, sum(n) AS n FROM here GROUP BY ALL
+  SELECT h2, w3, bare, mark, sum(n) AS n, sum(e) AS e FROM grams GROUP BY ALL
 ), one AS (
-  SELECT w3, sum(n) AS n, sum(e) AS e FROM two LEFT SEMI JOIN (SELECT DISTINCT c FROM asked) ON w3 = c GROUP BY ALL
-), longer AS (
-  SELECT w2, beginning, sum(n) AS n
-  FROM (SELECT w2, n, explode(transform(sequence(1, length(replace(w3, ' •', '')) - 1), i -> concat(left(w3, i), if(endswith(w3, ' •'), ' •', '')))) AS beginning
-        FROM two LEFT SEMI JOIN (SELECT DISTINCT b FROM asked) ON w2 = b WHERE length(replace(w3, ' •', '')) BETWEEN 2 AND 60)
-  LEFT SEMI JOIN (SELECT DISTINCT b, c FROM asked) ON w2 = b AND beginning = c
-  GROUP BY ALL
-), begun AS (
-  SELECT beginning, sum(n) AS n
-  FROM (SELECT n, explode(transform(sequence(1, length(replace(w3, ' •', '')) - 1), i -> concat(left(w3, i), if(endswith(w3, ' •'), ' •', '')))) AS beginning
-        FROM (SELECT w3, sum(n) AS n FROM two GROUP BY ALL) WHERE length(replace(w3, ' •', '')) BETWEEN 2 AND 60)
-  LEFT SEMI JOIN (SELECT DISTINCT c FROM asked) ON beginning = c
-  GROUP BY ALL
+  SELECT w3, bare, mark, sum(n) AS n, sum(e) AS e FROM two GROUP BY ALL
+), evidence AS (
+  SELECT level, h, k.kind, k.s, sum(n) AS n, sum(e) AS e FROM (
+    SELECT 3 AS level, h12 AS h, n, e, explode(concat(array(named_struct('kind', 'same', 's', w3), named_struct('kind', 'all', 's', ''), named_struct('kind', 'ending', 's', right(w3, 3))),
+      transform(filter(lengths, l -> l < length(bare)), l -> named_struct('kind', 'begun', 's', concat(left(bare, l), mark))))) AS k
+    FROM grams JOIN places USING (h12)
+    UNION ALL
+    SELECT 2, h2, n, e, explode(concat(array(named_struct('kind', 'same', 's', w3)), transform(filter(lengths, l -> l < length(bare)), l -> named_struct('kind', 'begun', 's', concat(left(bare, l), mark)))))
+    FROM two JOIN before USING (h2)
+    UNION ALL
+    SELECT 1, 0L, n, e, explode(concat(array(named_struct('kind', 'same', 's', w3)), transform(filter(lengths, l -> l < length(bare)), l -> named_struct('kind', 'begun', 's', concat(left(bare, l), mark)))))
+    FROM one CROSS JOIN any_length
+  ) GROUP BY ALL
 ), judged AS (
-  SELECT asked.*, coalesce(f.n, 0) AS nf, coalesce(g.n, 0) AS n3, coalesce(g.e, 0) AS e3, coalesce(p.n, 0) AS np, coalesce(p.e, 0) AS ep, coalesce(t.n, 0) AS n2, coalesce(t.e, 0) AS e2,
-    coalesce(o.n, 0) AS n1, coalesce(o.e, 0) AS e1, coalesce(x.n, 0) AS nx, coalesce(l.n, 0) AS nl
-  FROM asked
-  LEFT JOIN grams g ON g.w1 = a AND g.w2 = b AND g.w3 = c
-  LEFT JOIN place p ON p.w1 = a AND p.w2 = b
-  LEFT JOIN two t ON t.w2 = b AND t.w3 = c
-  LEFT JOIN one o ON o.w3 = c
-  LEFT JOIN endings x ON x.w1 = a AND x.w2 = b AND x.ending = right(c, 3)
-  LEFT JOIN longer l ON l.w2 = b AND l.beginning = c
-  LEFT JOIN begun f ON f.beginning = c
+  SELECT h12, h2, c, {", ".join(f"coalesce(sum(if(level = {level} AND kind = '{kind}', {x}, 0)), 0) AS {name}" for level, kind, x, name in ((3, "same", "n", "n3"), (3, "same", "e", "e3"), (3, "begun", "n", "l3"), (3, "all", "n", "np"), (3, "all", "e", "ep"), (3, "ending", "n", "nx"), (2, "same", "n", "n2"), (2, "same", "e", "e2"), (2, "begun", "n", "l2"), (1, "same", "n", "n1"), (1, "same", "e", "e1"), (1, "begun", "n", "l1")))}
+  FROM (
+    SELECT h12, h2, c, k.level, k.h, k.kind, k.s FROM (SELECT *, explode(array({", ".join(f"named_struct('level', {level}, 'h', {h}, 'kind', '{kind}', 's', {s})" for level, h, kind, s in ((3, "h12", "same", "c"), (3, "h12", "begun", "c"), (3, "h12", "all", "''"), (3, "h12", "ending", "right(c, 3)"), (2, "h2", "same", "c"), (2, "h2", "begun", "c"), (1, "0L", "same", "c"), (1, "0L", "begun", "c")))})) AS k FROM asked)
+  ) LEFT JOIN evidence USING (level, h, kind, s)
+  GROUP BY h12, h2, c
 )
-SELECT doc_id, source, copies, t.a, t.b, t.c, unfinished, n3, e3, np, ep, n2, e2, n1, e1, nx, nl, nf, longer_here,
+SELECT doc_id, source, copies, t.c, unfinished, n3, e3, l3, np, ep, n2, e2, l2, n1, e1, l1, nx, longer_here,
   CASE
     WHEN open_code THEN 'code'
     WHEN open_mark THEN 'mark'
     WHEN bare_item THEN 'item'
     WHEN NOT unfinished THEN NULL
-    WHEN broken THEN 'broken'
+    WHEN broken THEN 'half character'
     WHEN t.c IS NULL THEN NULL
     WHEN n3 >= {SEEN} THEN CASE WHEN e3 < {END_SHARE} * n3 THEN 'trigram' END
-    WHEN n2 = 0 AND nl > 0 AND NOT (n1 >= {SEEN_PLACE} AND e1 >= {SURE_SHARE} * n1) THEN 'word'
-    WHEN np >= {SEEN_PLACE} AND ep < {END_SHARE} * np THEN 'place'
-    WHEN n1 <= 1 AND longer_here THEN 'word here'
-    WHEN np >= {SEEN_ENDINGS} AND nx < {ENDING_SHARE} * np THEN 'ending'
-    WHEN n1 < {BEGUN_SHARE} * nf THEN 'begun'
+    WHEN n2 = 0 AND l2 > 0 AND NOT (n1 >= {SEEN_PLACE} AND e1 >= {SURE_SHARE} * n1) THEN CASE WHEN l3 > 0 THEN 'trigram begun' ELSE 'bigram begun' END
+    WHEN np >= {SEEN_PLACE} AND ep < {END_SHARE} * np THEN 'trigram place'
+    WHEN n1 <= 1 AND longer_here THEN 'word begun here'
+    WHEN np >= {SEEN_ENDINGS} AND nx < {ENDING_SHARE} * np THEN 'trigram ending'
+    WHEN n1 < {BEGUN_SHARE} * l1 THEN 'word begun'
     WHEN n2 >= {SEEN} AND e2 < {END_SHARE} * n2 THEN 'bigram'
     WHEN np >= {SEEN_PLACE} OR n2 >= {SEEN} THEN NULL
-    WHEN n1 >= {SEEN} THEN CASE WHEN e1 < {END_SHARE} * n1 THEN 'unigram' END
-    ELSE 'unknown'
+    WHEN n1 >= {SEEN} AND e1 < {END_SHARE} * n1 THEN 'word'
   END AS sign
-FROM tails t LEFT JOIN judged j ON t.a = j.a AND t.b = j.b AND t.c = j.c
+FROM tails t LEFT JOIN judged j ON t.h12 = j.h12 AND t.h2 = j.h2 AND t.c = j.c
 """
 
 
@@ -187,7 +180,7 @@ def signs(documents: DataFrame) -> DataFrame:
     the last words of each leave with the trigrams, in one shuffle of counts."""
     spark = documents.sparkSession
     name = f"tarazu_{uuid.uuid4().hex}"
-    spread(documents.select("doc_id", "source", "text")).createOrReplaceTempView(name)
+    spread(documents.select("doc_id", "source", "text").where("doc_id is not null and text is not null")).createOrReplaceTempView(name)
     materialize(spark.sql(_words(name) + _COUNTED)).createOrReplaceTempView(f"{name}_counted")
     out = spark.sql(_JUDGED.format(counted=f"{name}_counted"))
     for view in (name, f"{name}_counted"):
