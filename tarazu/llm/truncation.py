@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import unicodedata
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ END_SHARE = 0.2
 BEGUN_SHARE = 0.02
 #: A word that is seen often and whose sightings are at an end by this share is whole.
 SURE_SHARE = 0.9
-#: A place that ends units judges the endings of its words if seen so often; endings with less than this share are broken.
+#: A place that ends units judges the endings of rare words if seen so often; endings with less than this share are broken.
 SEEN_ENDINGS, ENDING_SHARE = 30, 0.005
 
 
@@ -51,6 +52,9 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Signs that end a sentence before a blank, and signs that hold no word.
+STOPS = (".", "۔", "?", "!", "؟", "।")
+SIGNS = ("\"", "“", "”", "(", ")", "[", "]", "*", "#", "=", *STOPS, "…", "\ufffd")
 #: What may follow a finished text: end marks of chats, references, emoji, signatures, end lines.
 AFTER = (
     r"(?<!\s)(?:\s*+(?:[\"”»)]\s*+)?(?:<\|(?:im_end|endoftext)\|>|\(\d+\)|\[\d+\]|[\p{So}\x{1F3FB}-\x{1F3FF}&&[^\x{FFFD}]]+)|(?:[^\S\n]*+\n|(?<=\|>))\s*+(?:[*=_~]+|[*=_~#-]{3,}|— ?[^\n]{1,60}|THE END|The end|Tamam shud|ختم شد|تمام شد)|\s*+[\"”»)])+$"
@@ -66,46 +70,62 @@ def _words(source: str) -> str:
     hidden = r"[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
     blanks = r"[\r\x{85}\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\t]"
     # signs that don't stay as they are; a negated class of all others takes Java many times as long
-    odd = r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{FF00}-\x{FFEF}\x{370}-\x{58F}\x{643}\x{649}\x{64A}\x{660}-\x{669}\x{6D5}\x{2000}-\x{200F}\x{2028}-\x{206F}\r\t\x{85}\x{A0}\x{AD}\x{34F}\x{61C}\x{180E}\x{3000}\x{FE00}-\x{FE0F}]"
-    signs = r"[\"“”()\[\]*#=.۔?!؟।…\x{FFFD} ]+"
+    odd = r"[\x{FB50}-\x{FFEF}\x{34F}-\x{58F}\x{643}\x{649}\x{64A}\x{660}-\x{669}\x{6D5}\x{1680}-\x{200F}\x{2028}-\x{206F}\r\t\x{85}\x{A0}\x{AD}\x{61C}\x{3000}]"
+    # stops end sentences before a blank; these and other signs hold no word. Plain replacements
+    # cost a fraction of a pattern over whole texts
+    broken_up = "replace(t6, '\\n', ' \\n \\n ')"
+    for stop in STOPS:
+        broken_up = f"replace({broken_up}, '{stop} ', ' \\n \\n ')"
+    plain = lambda x: reduce(lambda y, sign: f"replace({y}, {_q(sign)}, ' ')", SIGNS, x)
+    last_line = "substring_index(t3, '\\n', -1)"
     one_row = lambda **columns: "LATERAL VIEW inline(array(named_struct(" + ", ".join(f"'{k}', {x}" for k, x in columns.items()) + "))) AS " + ", ".join(columns)
     # each step is a generator of one row: the optimizer would else write its expression
     # into every place that uses it, and patterns would run many times
     steps = (
-        one_row(t0=f"if(text RLIKE {_q(odd)}, regexp_replace(regexp_replace(translate(text, {_q(old)}, {_q(new)}), {_q(hidden)}, ''), {_q(blanks)}, ' '), text)"),
+        one_row(odd=f"if(octet_length(text) = length(text), instr(text, '\\t') > 0 OR instr(text, '\\r') > 0, text RLIKE {_q(odd)})"),
+        one_row(t0=f"if(odd, regexp_replace(regexp_replace(translate(text, {_q(old)}, {_q(new)}), {_q(hidden)}, ''), {_q(blanks)}, ' '), text)"),
         one_row(t1="trim(TRAILING ' \\n\\t\\u000b\\u000c' FROM t0)"),
         one_row(t2="if(instr('*=_~#-', right(t1, 1)) > 0, trim(TRAILING '*=_~#- \\n' FROM t1), t1)"),
         one_row(ruled=f"t2 <> t1 AND substring(t1, length(t2) + 1) RLIKE {_q(r'^[ ]*\n\s*(?:[*=_~]+|[*=_~#-]{3,})')}"),
         one_row(t3="if(ruled, t2, t1)"),
-        one_row(stopped="t3 <> '' AND instr('.۔?!؟।', right(t3, 1)) > 0"),
-        one_row(closed=f"ruled OR NOT stopped AND t3 RLIKE {_q(AFTER)}"),
+        one_row(stopped=f"t3 <> '' AND instr('{''.join(STOPS)}', right(t3, 1)) > 0"),
+        one_row(closed=f"ruled OR NOT stopped AND (right(t3, 1) RLIKE {_q(r'[^\p{L}\p{M}\p{N}]')} OR {last_line} RLIKE {_q(r'^\s*(?:— ?|THE END|The end|Tamam shud|ختم شد|تمام شد)|\|>\s*— ?')}) AND t3 RLIKE {_q(AFTER)}"),
         one_row(
             open_code="instr(t3, '```') > 0 AND (length(t3) - length(replace(t3, '```', ''))) % 6 = 3 OR endswith(t3, '\\n`') OR endswith(t3, '\\n``')",
             open_mark=f"NOT stopped AND instr(t3, '<|') > 0 AND t3 RLIKE {_q(r'<\|[a-z_]*\|?$')}",
             broken=f"NOT stopped AND endswith(t3, '\ufffd') AND t3 RLIKE {_q(r'[\p{L}\p{M}\p{N},،:-] *\x{FFFD}+$')}",
-            bare_item=f"right(t3, 1) IN ('-', '.', ')') AND t3 RLIKE {_q(r'(?:^|\n) *(?:-|\d+[.)])$')}",
+            bare_item=f"right(t3, 1) IN ('-', '.', ')') AND {last_line} RLIKE {_q(r'^ *(?:-|\d+[.)])$')}",
             unfinished="NOT closed AND NOT endswith(t3, '```') AND (endswith(t3, '..') OR NOT stopped)",
         ),
         one_row(t4=f"if(closed AND NOT ruled, regexp_replace(t3, {_q(AFTER)}, '\\n'), t3)"),
         one_row(t5=f"if(instr(t4, '```') > 0, regexp_replace(t4, {_q(r'(?s)```.*?(?:```|$)')}, '\\n'), t4)"),
         one_row(t6=f"if(instr(t5, '<|') > 0, regexp_replace(t5, {_q(r'<\|[a-z_]+\|>')}, '\\n'), t5)"),
-        one_row(t7=f"concat(' \\n \\n ', regexp_replace(t6, {_q(r'(?<=[.۔?!؟।])\s++|(?<! ) *+\n\s*+')}, ' \\n \\n '))"),
-        one_row(t8=f"if(t7 RLIKE {_q(r'\n [-•*] ')}, regexp_replace(regexp_replace(regexp_replace(t7, {_q(r'(?<=\n )[-•*] +')}, '• '), {_q(signs)}, ' '), {_q(r'(?:(?<=\n )• +|\G)([^ \n]+) *')}, '$1• '), t7)"),
-        one_row(t9="trim(TRAILING ' \\n' FROM regexp_replace(t8, '[0-9۰-۹٠-٩]+', '0'))"),
-        one_row(tail="if(unfinished, substring_index(t9, '\\n', -1), '')"),
-        one_row(body="if(unfinished, left(t9, length(t9) - length(tail)), concat(t9, ' \\n'))"),
-        one_row(w=f"split(concat(trim(BOTH ' ' FROM body), ' '), {_q(signs)})", z=f"split(concat('\\n \\n ', trim(BOTH ' ' FROM regexp_replace(tail, {_q(signs)}, ' '))), ' ')"),
+        one_row(t7=f"concat(' \\n \\n ', {broken_up}, ' ')"),
+        one_row(has_items="instr(t7, '\\n - ') > 0 OR instr(t7, '\\n • ') > 0 OR instr(t7, '\\n * ') > 0"),
+        one_row(t8=f"if(has_items, regexp_replace(t7, {_q(r'(?<=\n )[-•*] +')}, '• '), t7)"),
+        one_row(t9=plain("t8")),
+        one_row(t10="replace(replace(t9, '  ', ' '), '  ', ' ')"),
+        one_row(t11="if(instr(t10, '  ') > 0, regexp_replace(t10, ' {2,}', ' '), t10)"),
+        one_row(t12=f"trim(TRAILING ' \\n' FROM if(has_items, regexp_replace(t11, {_q(r'(?:(?<=\n )• |\G)([^ \n]+) ')}, '$1• '), t11))"),
+        one_row(tail="if(unfinished, substring_index(t12, '\\n', -1), '')"),
+        one_row(body="if(unfinished, left(t12, length(t12) - length(tail)), concat(t12, ' \\n'))"),
+        one_row(w="split(concat(trim(BOTH ' ' FROM body), ' '), ' ')", z="split(concat('\\n \\n ', trim(BOTH ' ' FROM tail)), ' ')"),
         one_row(c="get(z, size(z) - 1)"),
-        one_row(asked="unfinished AND c NOT IN ('\\n', '')"),
-        one_row(marks="int(open_code) + 2 * int(open_mark) + 4 * int(bare_item) + 8 * int(broken) + 16 * int(unfinished) + 32 * int(asked AND body RLIKE concat('[ \\n]\\\\Q', replace(c, '\\\\E', ''), '\\\\E[^ \\n]{2}'))"),
+        one_row(asked=f"unfinished AND c RLIKE {_q(r'[\p{L}\p{N}]')}"),
+        one_row(marks="int(open_code) + 2 * int(open_mark) + 4 * int(bare_item) + 8 * int(broken) + 16 * int(unfinished) + 32 * int(asked AND instr(body, concat(' ', c)) > 0 AND body RLIKE concat('[ \\n]\\\\Q', replace(c, '\\\\E', ''), '\\\\E[^ \\n]{2}'))"),
     )
     return "WITH words AS (SELECT doc_id, source, marks, w, z, c, asked FROM " + source + "\n" + "\n".join(steps) + "\nWHERE t1 <> '')"
 
 
+def _number(word: str) -> str:
+    """A word, or 0 for all that begin with a digit."""
+    return f"if({word} >= '0' AND {word} < ':' OR {word} >= '٠' AND {word} < '٪' OR {word} >= '۰' AND {word} < 'ۺ', '0', {word})"
+
+
 #: One row of counts for each trigram, and one for each document with its marks and its final
 #: trigram, if that is asked about; the word after the last one stands for the document.
-_COUNTED = """
-SELECT doc_id, source, marks, xxhash64(w1, w2) AS h12, xxhash64(w2) AS h2, w3, count(*) AS n, count_if(ends) AS e
+_COUNTED = f"""
+SELECT doc_id, source, marks, xxhash64({_number("w1")}, {_number("w2")}) AS h12, xxhash64({_number("w2")}) AS h2, {_number("w3")} AS w3, count(*) AS n, count_if(ends) AS e
 FROM (
   SELECT if(last, CAST(doc_id AS BIGINT), NULL) AS doc_id, if(last, source, NULL) AS source, if(last, marks, 0) AS marks, last, if(last, get(z, size(z) - 3), get(w, i - 2)) AS w1, if(last, get(z, size(z) - 2), get(w, i - 1)) AS w2,
     if(last, if(asked, c, NULL), t) AS w3, NOT last AND get(w, i + 1) = '\n' AS ends
@@ -160,10 +180,11 @@ SELECT doc_id, source, copies, t.c, unfinished, n3, e3, l3, np, ep, n2, e2, l2,
     WHEN broken THEN 'half character'
     WHEN t.c IS NULL THEN NULL
     WHEN n3 >= {SEEN} THEN CASE WHEN e3 < {END_SHARE} * n3 THEN 'trigram' END
+    WHEN np >= {SEEN_ENDINGS} AND l3 >= (1 - {END_SHARE}) * np THEN 'trigram begun'
     WHEN n2 = 0 AND l2 > 0 AND NOT (n1 >= {SEEN_PLACE} AND e1 >= {SURE_SHARE} * n1) THEN CASE WHEN l3 > 0 THEN 'trigram begun' ELSE 'bigram begun' END
     WHEN np >= {SEEN_PLACE} AND ep < {END_SHARE} * np THEN 'trigram place'
     WHEN n1 <= 1 AND longer_here THEN 'word begun here'
-    WHEN np >= {SEEN_ENDINGS} AND nx < {ENDING_SHARE} * np THEN 'trigram ending'
+    WHEN n1 < {SEEN_PLACE} AND np >= {SEEN_ENDINGS} AND nx < {ENDING_SHARE} * np THEN 'trigram ending'
     WHEN n1 < {BEGUN_SHARE} * l1 THEN 'word begun'
     WHEN n2 >= {SEEN} AND e2 < {END_SHARE} * n2 THEN 'bigram'
     WHEN np >= {SEEN_PLACE} OR n2 >= {SEEN} THEN NULL

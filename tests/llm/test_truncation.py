@@ -46,3 +46,28 @@ def test_nulls_repeats_and_nothing(make_documents, corpus):
     assert truncation.cut_documents(d.limit(0)).count() == 0 and truncation.cut_shares(d.limit(0)).count() == 0
     share = truncation.cut_shares(d).first()
     assert share.n_texts == d.count() - 3 and share.cut_share == share.n_cut / share.n_texts
+
+
+def test_known_words_in_an_open_place_are_whole(make_documents):
+    """A list slot seen often, and a known noun that it never held before."""
+    nouns = [f"noun{chr(97 + k)}{chr(97 + k)}x" for k in range(9)]
+    items = [f"- old {n}" for n in nouns[:8]] * 6
+    other = [f"- new {n}" for n in nouns] * 6
+    lists = ["\n".join(items[k : k + 4]) for k in range(0, len(items), 4)] + ["\n".join(other[k : k + 3]) for k in range(0, len(other), 3)]
+    texts = [*[f"{x}\nThat is the list." for x in lists], f"- old {nouns[0]}\n- old {nouns[8]}"]
+    assert truncation.cut_documents(make_documents(*texts)).count() == 0
+
+
+def test_trigrams_decide_most_rows(documents):
+    signs = [r.sign for r in truncation.signs(documents).where("sign is not null").collect()]
+    by_words = [x for x in signs if x.split()[0] in ("trigram", "bigram", "word")]
+    assert sum(x.startswith("trigram") for x in by_words) > 0.6 * len(by_words) and not {"unknown"} & set(signs)
+
+
+def test_long_words_and_long_ends(make_documents, corpus):
+    """Words beyond 60 letters, and references longer than 300 characters after a text."""
+    name = "q" + "ab" * 50
+    known = [f"We met in {name} today." for _ in range(6)]
+    ends = " ".join(f"[{k}]" for k in range(200))
+    got = {r.doc_id for r in truncation.cut_documents(make_documents(*corpus, *known, f"{corpus[0]} We met in {name[:-20]}", f"{corpus[0]} {ends}", f"{corpus[1]}\n--")).collect()}
+    assert got == {len(corpus) + len(known)}
