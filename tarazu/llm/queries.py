@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_records": lambda s, d: leaks.leaked_records(train(s, d), prompts(s, d)),
         "p6_found": lambda s, d: defects.defective(train(s, d)),
         "p6_labels": lambda s, d: defects.labelled(train(s, d)),
+        "p6_functions": lambda s, d: defects.labelling_functions(train(s, d)),
         "p7_ids": lambda s, d: tokens.token_ids(documents(s, d)),
         "p8_containers": lambda s, d: packing.pack_documents(documents(s, d)),
         "p8_fill": lambda s, d: packing.packing_summary(packing.pack_documents(documents(s, d))),

@@ -58,7 +58,8 @@ def test_known_words_in_an_open_place_are_whole(make_documents):
     assert truncation.cut_documents(make_documents(*texts)).count() == 0
 
 
-def test_trigrams_decide_most_rows(documents):
+def test_trigrams_decide_most_rows(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     signs = [r.sign for r in truncation.signs(documents).where("sign is not null").collect()]
     by_words = [x for x in signs if x.split()[0] in ("trigram", "bigram", "word")]
     assert sum(x.startswith("trigram") for x in by_words) > 0.6 * len(by_words) and not {"unknown"} & set(signs)
