@@ -91,9 +91,9 @@ class Machines:
         got = self._words[w] = tuple(self.weights[:, _features(w)].mean(axis=1)[_PAIRS_OF[f]].tolist())
         return got
 
-    def language(self, sentence: str) -> tuple[str | None, float, int]:
-        """Language, confidence and number of words of its script."""
-        f, share, words = family(sentence)
+    def language(self, sentence: str, found: tuple | None = None) -> tuple[str | None, float, int]:
+        """Language, confidence and number of words of its script; found: its family."""
+        f, share, words = found or family(sentence)
         if f is None:
             return None, 0.0, 0
         names = FAMILIES[f]
@@ -127,10 +127,10 @@ class Machines:
                 out.append([lang, sure, 1, n])
         return out
 
-    def languages(self, parts: list[str]) -> set[str]:
+    def languages(self, parts: list[str], found: list[tuple] | None = None) -> set[str]:
         """Of the sentences of a text, the languages that have a whole sentence; a sentence that is short or not surely
         of its language, as by loan words, counts only if there is no other."""
-        said = [x for x in map(self.language, parts) if x[0] is not None]
+        said = [x for x in map(self.language, parts, found or [None] * len(parts)) if x[0] is not None]
         sure = {lang for lang, p, n in said if p >= SURE and n >= WHOLE_WORDS}
         if sure or not said:
             return sure
@@ -174,6 +174,11 @@ def _machine(words: list[list[int]], rows: list[list[int]], y: np.ndarray, round
     return w, b
 
 
+def _margins(words: list[list[int]], rows: list[list[int]], w: np.ndarray, c: float) -> np.ndarray:
+    word = np.array([w[f].mean() for f in words])
+    return np.array([word[r].mean() for r in rows]) + c
+
+
 def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve over margins; the slope is never below 1."""
     a, c, up = 4.0, 0.0, (y > 0).astype(float)
@@ -212,14 +217,18 @@ def fit(labelled: list[tuple[str, str]]) -> Machines:
         if not len(use) or abs(y.sum()) == len(y):
             continue
         own = [rows[i] for i in use]
-        for again in (True, True, False):
-            w, c = _machine(words, own, y, 20 if again else 60)
-            word = np.array([w[f].mean() for f in words]) if words else np.zeros(0)
-            margin = np.array([word[r].mean() for r in own]) + c
-            if again:
-                keep = margin * y > 0
-                if 0 < (y[keep] > 0).sum() < keep.sum():
-                    own, y = [r for r, x in zip(own, keep) if x], y[keep]
+        for _ in range(2):
+            w, c = _machine(words, own, y, 20)
+            keep = _margins(words, own, w, c) * y > 0
+            if 0 < (y[keep] > 0).sum() < keep.sum():
+                own, y = [r for r, x in zip(own, keep) if x], y[keep]
+        # confidences come from sentences that the last fit hasn't seen
+        held = np.arange(len(y)) % 5 == 4
+        if abs(y[held].sum()) == held.sum() or abs(y[~held].sum()) == (~held).sum():
+            held = np.zeros(len(y), dtype=bool)
+        w, c = _machine(words, [r for r, x in zip(own, held) if not x], y[~held])
+        seen = held if held.any() else ~held
+        margin, y = _margins(words, [r for r, x in zip(own, seen) if x], w, c), y[seen]
         weights[k], bias[k], scale[k] = w, c, _calibrate(margin, y)
     return Machines(weights, bias, scale)
 
