@@ -119,6 +119,21 @@ def bar(share: Column) -> Column:
     return F.repeat(F.lit("█"), F.floor(share / 2).cast("int"))
 
 
+def count_bar(n: Column, whole: Column) -> Column:
+    """One block for every fiftieth of the whole; nothing of a whole below 50."""
+    return F.repeat(F.lit("█"), F.coalesce(F.floor(F.try_divide(n, F.floor(whole / 50))).cast("int"), F.lit(0)))
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(n, 0)
+
+
+def fixed(x: Column, digits: int, signed: bool = False) -> Column:
+    """A number with so many digits after the point, with its sign if signed."""
+    return F.format_string(f"%{'+' if signed else ''}.{digits}f", x.cast("double"))
+
+
 def numbered(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
 

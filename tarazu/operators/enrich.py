@@ -40,24 +40,28 @@ def requests(batched: DataFrame) -> DataFrame:
 def call(reqs: DataFrame, complete: Callable[[str], tuple[str | None, int, int]], attempts: int = 3, wait: float = 0.0) -> DataFrame:
     """batch, response, input_tokens, output_tokens, attempts: complete(request) gives a
     response and what it took; a call that raises or gives none is tried again, and
-    what every attempt took is added up. wait seconds pass between calls of a task."""
+    what every attempt took is added up; an exception may carry what it took in `took`, a
+    pair of token counts. wait seconds pass between calls of a task, not after the last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
+        called = False
         for pdf in batches:
             rows = []
             for batch, request in zip(pdf["batch"], pdf["request"]):
                 response, took_in, took_out, k = None, 0, 0, 0
                 while response is None and k < attempts:
                     k += 1
+                    if wait and called:
+                        time.sleep(wait)
+                    called = True
                     try:
                         response, a, b = complete(request)
                         took_in, took_out = took_in + a, took_out + b
-                    except Exception:
-                        response = None
-                    if wait:
-                        time.sleep(wait)
+                    except Exception as e:
+                        response, (a, b) = None, getattr(e, "took", (0, 0))
+                        took_in, took_out = took_in + a, took_out + b
                 rows.append((batch, response, took_in, took_out, k))
             yield pd.DataFrame(rows, columns=["batch", "response", "input_tokens", "output_tokens", "attempts"])
 
@@ -77,6 +81,21 @@ def match_by_position(batched: DataFrame, responses: DataFrame, items: str = "it
     )
 
 
+def filled(items: DataFrame, columns: tuple[str, ...] = ("instruction", "output")) -> DataFrame:
+    """Generated items without those whose instruction or output is null or the empty
+    text; blanks are text."""
+    keep = F.lit(True)
+    for c in columns:
+        keep = keep & (F.coalesce(F.col(c), F.lit("")) != "")
+    return items.where(keep)
+
+
+def progress_percent(done: Column, total: Column) -> Column:
+    """Percent of the rows that are done; above 100 where a resumed run counts earlier
+    rows against what remained. Null without rows."""
+    return F.try_divide(F.lit(100.0) * done, total.cast("double"))
+
+
 def within_budget(log: DataFrame, cost: str | Column, budget: float, order: str = "batch", by: tuple[str, ...] = ("job",)) -> DataFrame:
     """Entries of each job's log before its running total reaches the budget; the entry that reaches it
     was paid for but isn't kept. Costs aren't negative, so everything after it goes too."""

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarazu.functions import text as tx
+
 BAD = "_corrupt_record"
 
 
+@F.pandas_udf(T.BooleanType())
+def _parses(lines: pd.Series) -> pd.Series:
+    """Whether a line is one JSON object and nothing else: the column parser overlooks what follows one."""
+
+    def one(line: str | None) -> bool:
+        try:
+            return isinstance(json.loads(line or ""), dict)
+        except ValueError:
+            return False
+
+    return lines.map(one, na_action=None).astype(bool)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob has files, on any file system that Spark reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -31,7 +48,7 @@ def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) ->
     fields = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "allowSingleQuotes": "false"}
     rows = spark.read.text(path).select("value", F.from_json("value", fields, options).alias("row"), F.col("_metadata.file_path").alias("_file"))
-    bad = F.col("row").isNull() | F.col(f"row.{BAD}").isNotNull() | (F.trim("value") == "")
+    bad = ~_parses("value") | F.col("row").isNull()
     stop = F.raise_error(F.concat(F.lit("malformed line in "), F.col("_file"), F.lit(": "), F.substring("value", 1, 80)))
     checked = rows.select(F.when(bad, stop.cast(fields)).otherwise(F.col("row")).alias("row"))
     return checked.select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields])
@@ -41,9 +58,11 @@ def tolerant_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -
     """JSON Lines with malformed lines in _corrupt_record and blank ones skipped."""
     schema = _struct(spark, schema)
     fields = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).select(tx.strip(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("_file")).where("value <> ''")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "allowSingleQuotes": "false"}
-    return lines.select(F.from_json(F.trim("value"), fields, options).alias("row"), F.col("_metadata.file_path").alias("_file")).select("row.*", "_file")
+    parsed = lines.select(F.from_json("value", fields, options).alias("row"), "_file", F.when(_parses("value"), F.lit(None).cast("string")).otherwise(F.col("value")).alias(BAD))
+    wrong = F.coalesce(F.col(BAD), F.col(f"row.{BAD}"))
+    return parsed.select(*[F.when(wrong.isNull(), F.col("row")[f.name]).alias(f.name) for f in schema.fields], wrong.alias(BAD), "_file")
 
 
 def good(df: DataFrame) -> DataFrame:

@@ -97,10 +97,13 @@ def run_logged(spark: SparkSession, path: str, run: Callable[[Callable[[str], No
 
 
 def report(df: DataFrame, widths: dict[str, int], limit: int = 200) -> str:
-    """A small result as lines of fixed width; negative widths align to the right."""
+    """A small result as lines of fixed width; negative widths align to the right. Rows
+    beyond the limit are counted in a last line."""
     cells = [(F.lpad if w < 0 else F.rpad)(F.coalesce(F.col(c).cast("string"), F.lit("—")), abs(w), " ") for c, w in widths.items()]
     head = "".join(f"{c:>{-w}}" if w < 0 else f"{c:<{w}}" for c, w in widths.items())
-    return "\n".join([head, *(r[0] for r in df.limit(limit).select(F.concat(*cells)).collect())])
+    shown = [r[0] for r in df.limit(limit + 1).select(F.concat(*cells)).collect()]
+    more = [f"… and {df.count() - limit} more"] if len(shown) > limit else []
+    return "\n".join([head, *shown[:limit], *more])
 
 
 def _fs(spark: SparkSession, path: str):

@@ -78,3 +78,21 @@ def test_cycle_is_short_at_the_end(spark):
     got = pd.DataFrame(enrich.cycle(topics, 4, 4, 0).collect(), columns=["pos", "batch", "topic"]).groupby("batch").size().to_dict()
     assert got == {0: 4, 1: 4, 2: 2, 3: 4}
     assert enrich.cycle(topics.limit(0), 4, 4).count() == 0
+
+
+def test_a_failed_attempt_is_charged(spark):
+    class Failed(Exception):
+        took = (5, 2)
+
+    def complete(request):
+        if request == "x":
+            raise Failed
+        return "done", 1, 1
+
+    got = {r.batch: (r.response, r.input_tokens, r.output_tokens, r.attempts) for r in enrich.call(spark.createDataFrame([(0, "x"), (1, "y")], "batch long, request string"), complete).collect()}
+    assert got == {0: (None, 15, 6, 3), 1: ("done", 1, 1, 1)}
+
+
+def test_items_without_text_are_left_out(spark):
+    items = spark.createDataFrame([(1, "a", "b"), (2, "", "b"), (3, "a", None), (4, " ", "b")], "id int, instruction string, output string")
+    assert sorted(r.id for r in enrich.filled(items).collect()) == [1, 4]

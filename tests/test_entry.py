@@ -19,11 +19,13 @@ def test_queries_match_their_sql(spark, data):
     c = duckdb.connect()
     for name in ("train", "documents", "prompts", "eval_results", "verdicts", "progress", "topics", "events"):
         c.execute(f"create view {name} as select * from '{data}/{name}.parquet'")
-    from tarazu.plans import catalogue
+    from tarazu.plans import catalogue, stored
 
+    own = catalogue.oracle_sql()
+    known = catalogue.queries() | catalogue.whole() | stored.queries()
     key = lambda r: tuple(map(repr, r))
-    for name, sql in catalogue.oracle_sql().items():
-        df = catalogue.queries()[name](spark, data)
+    for name, sql in (own | stored.whole_sql(own) | stored.oracle_sql(own["clean_totals"])).items():
+        df = known[name](spark, data)
         cur = c.execute(sql)
         names = [d[0] for d in cur.description]
         assert sorted(names) == sorted(df.columns), name

@@ -122,3 +122,16 @@ def test_stream_appends_once_and_drops_late_copies(spark, tmp_path):
 def test_event_windows_as_batch(spark):
     e = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:00:00", "a", 4.0)], "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) ts", "event_type", "value")
     assert sorted((r.n_events, r.total) for r in clean_stream.counts_in_windows(e).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+@pytest.mark.parametrize("line", ['{"id": 1} trailing', '{"id": 1} {"id": 2}', '{"id": 1}]', "[1]", "7", "{'id': 1}"])
+def test_what_follows_an_object_is_malformed(spark, tmp_path, line):
+    p = put(tmp_path / "a.jsonl", [*GOOD, "\t ", line])
+    rows = readers.tolerant_jsonl(spark, p, SCHEMA)
+    assert readers.good(rows).count() == 2 and tuple(readers.skipped(rows).first()) == (1, 2)
+    with pytest.raises(Exception, match="malformed"):
+        readers.strict_jsonl(spark, p, SCHEMA).collect()
+
+
+def test_a_long_report_says_what_it_leaves_out(spark):
+    assert sinks.report(spark.range(205), {"id": -4}, 200).endswith("… and 5 more")
