@@ -1,3 +1,6 @@
+import random
+import zlib
+
 import numpy as np
 import pytest
 
@@ -144,3 +147,25 @@ def test_ends_tell_cuts_on_held_out_rows(train):
                 cut += ends.end(w[:-2], listed) < 0.5
                 hit += ends.end([*w[:-2], w[-2][:2]], listed) < 0.5
     assert n > 100 and whole > 0.9 * n and cut > 0.95 * n and hit > 0.95 * n
+
+
+def test_machines_and_cutoffs_come_from_all_rows(train, monkeypatch):
+    """Not from a sample: the limits of one change nothing, nor does where rows lie; the descent over blocks is that in memory."""
+    whole = defects.fit_votes(train)
+    monkeypatch.setattr(defects, "SAMPLED_ROWS", 3)
+    monkeypatch.setattr(defects, "bounded_sample", None)
+    monkeypatch.setattr(defects, "BLOCK_ROWS", 500)
+    dealt = defects.fit_votes(train.repartition(5))
+    for a, b in ((whole.ends, dealt.ends), (whole.refusals, dealt.refusals), (whole.machines, dealt.machines)):
+        assert np.allclose(a.weights, b.weights, atol=1e-4)
+    assert np.abs(whole.ends.weights).max() > 0.1 and np.abs(whole.machines.weights).max() > 0.1
+    rows, y = [], []
+    for r in train.where("instruction is not null and length(output) > 20").select("output").collect():
+        text = defects._text(r.output)
+        defects._add_ends(text, random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass"))), rows, y)
+    assert np.allclose(defects._logistic(rows, y)[0], whole.ends.weights, atol=1e-4)
+    passed = defects._passed(train, whole).persist()
+    made = defects._planted_codes(passed, defects._looked_up(passed), whole)
+    pairs = train.where("row_id is not null and instruction is not null").count()
+    assert all(made.values()) and 0.8 * pairs < sum(sum(made[d].values()) for d in defects.PLANTED) <= pairs
+    assert sum(made["other_language"].values()) > pairs
