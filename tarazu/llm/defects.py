@@ -14,8 +14,9 @@ Patterns are few, so the counts are what reaches the driver; pairs are never
 shuffled. Three small machines back some functions: language machines as those of
 problem 4, one that tells ends of sentences from cuts and one that knows refusals by
 the words around their phrases. They learn from all rows, where these lie (`descent`).
-One pass over the texts yields votes, word counts and the votes on simulated defects;
-last words meet the counts afterwards.
+Texts are read once, in blocks: what each shows without the machines, counts of words,
+simulated defects, and hashed features that machines are fitted on and asked for later
+(`blocks`). `Votes` says the same of one pair. Last words meet the counts afterwards.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarazu.functions.order import bounded_sample
-from tarazu.llm import descent
+from tarazu.llm import blocks, descent
 from tarazu.llm.answers import _EMPTY_WORDS, HEADINGS, _ITEM, _MARK, is_empty_answer, lines, sentences, without_code
-from tarazu.llm.languages import LANGUAGES, SAMPLE_ROWS, Machines, family, fit, label_language
+from tarazu.llm.languages import FAMILIES, LANGUAGES, SAMPLE_ROWS, Machines, family, fit, label_language
 from tarazu.llm.normal import consistent
 from tarazu.session import materialize, spread
 
@@ -54,13 +56,15 @@ FUNCTIONS = {
 }
 #: Rows of a sample in memory that the machines for ends and refusals learn from, at most; whole tables have no limit.
 SAMPLED_ROWS = 8000
-END_FEATURES, END_WIDTH = 1 << 17, 11
-#: A block of encoded texts is closed after so many rows of the machine for ends.
-BLOCK_ROWS = 100_000
+END_FEATURES, END_WIDTH = blocks.END_FEATURES, blocks.END_WIDTH
+#: A block of texts is closed when the machine for ends has so many rows of it.
+BLOCK_ROWS = 500_000
 #: A word that finished units hold so often is known; so often and it has a habit.
 KNOWN, HABIT = 5, 20
 #: The machine calls a place a cut below and an end above these.
 CUT, END = 0.25, 0.6
+#: The machine calls a text a refusal above the one and none below the other.
+SAID, UNSAID = 0.85, 0.3
 
 # What a copied question may be headed by, refusal phrases and names of languages.
 QUESTION_HEADS = r"(?:question|instruction|prompt|task|q|you asked|your question is|sawal|aap ne poocha|aap ka sawal hai|aap ka sawal|hidayat|سوال|آپ نے پوچھا|آپ کا سوال ہے|آپ کا سوال|ہدایت|प्रश्न|सवाल|आपने पूछा|السؤال|سؤال|پرسش)"
@@ -90,6 +94,8 @@ _ASKED = {k: re.compile(consistent(p)) for k, p in ASKED.items()}
 _ASKED_STEMS = {k: tuple(consistent(p).replace("\\b", "").split("|")) for k, p in ASKED.items()}
 #: The phrases of _OBJECT, all plain but one; looking for each costs a fraction of the pattern.
 _OBJECTS, _AI = tuple(x for x in _OBJECT.pattern.split("|") if "\\" not in x), re.compile(r"\bai\b")
+#: One of these is in every phrase of _QUOTED.
+_QUOTED_PARTS = tuple(map(consistent, ("you may say", "you can say", "you could say", "keh sakte", "کہہ سکتے", "dear", "mohtaram", "محترم")))
 _HIDDEN = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
 _LANGUAGES_OF: dict[str, tuple[str, ...]] = {}
 for _k, _v in FUNCTION_WORDS.items():
@@ -100,6 +106,8 @@ _STEMS = tuple(sorted({max(re.split(r"\\b|\(\?:[^()]*\)|.\?", p), key=len) for p
 _UNITS = re.compile(r"(?<=[.۔?!؟।])\s+|\n+")
 _STRIPPED = re.compile(r"[\"“”()\[\]*#=.۔?!؟।…]+")
 _STOP = re.compile(r"[.۔?!؟।][\"”’»')\]\s]*$")
+#: What may follow the stop of a text.
+_CLOSING = "\"”’»')] \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _DOTS = re.compile(r"(?:…|\.\.)[\"”’»')\]\s]*$")
 _AFTER = regex.compile(r"(?:\s*+(?:<\|im_end\|>|<\|endoftext\|>|\(\d+\)|\[\d+\]|[\p{So}\U0001F3FB-\U0001F3FF--�]+))+$", regex.V1)
 _QUOTES = re.compile(r"(?<!\w)['\"“«‘](?:[^'\"”»’\n]|(?<=\w)['’](?=\w))+['\"”»’](?!\w)")
@@ -107,6 +115,7 @@ _QUOTES = re.compile(r"(?<!\w)['\"“«‘](?:[^'\"”»’\n]|(?<=\w)['’](?=\
 _ASIDE = re.compile(r"[.۔?!؟।]\s*\([^()\n]*\)$")
 _LISTED, _NUMBER = re.compile(r"\s*(?:[-*•]|\d+[.)])\s"), re.compile(r"\d+")
 _BARE = re.compile(r"\s*(?:[-*•]|\d+[.)])\s*")
+_BARE_ENDS = "-*•.)"
 _GOING_ON = ",،;؛:-–(«“"
 
 
@@ -115,25 +124,20 @@ def _tokens(unit: str) -> tuple[list[str], bool]:
     return _STRIPPED.sub(" ", _NUMBER.sub("0", _ITEM.sub("", unit))).split(), _LISTED.match(unit) is not None
 
 
-#: Of units and of list items: the checksums that those of a feature's kind go on from, of the number of words and of the length of the last.
-_KINDS = {x: [zlib.crc32((k if k in "69" else k + m).encode()) for k in "123456789"] for x, m in ((False, ""), (True, "•"))}
-_COUNTS = {x: [zlib.crc32(f"n{m}{n}".encode()) % END_FEATURES for n in range(7)] for x, m in ((False, ""), (True, "•"))}
-_LENGTHS = [zlib.crc32(f"l{n}".encode()) % END_FEATURES for n in range(7)]
+def _ended(text: str) -> tuple[bool, bool]:
+    """Whether a text ends with a stop (as _STOP finds it), and whether with dots (_DOTS)."""
+    t = text.rstrip(_CLOSING)
+    return t[-1:] in _STOPS if t else False, t[-1:] == "…" or t[-2:] == ".."
 
 
-def _end_features(words: list[str], listed: bool) -> list[int]:
-    a, b, c = (["", "", "", *words])[-3:]
-    length = min(len(c), 6)
-    last, ab = c[-3:].encode("utf-8", "surrogatepass"), f"{a} {b}".encode("utf-8", "surrogatepass")
-    one, b, c = c[-1:].encode("utf-8", "surrogatepass"), b.encode("utf-8", "surrogatepass"), c.encode("utf-8", "surrogatepass")
-    parts = (c, b + b" " + c, ab + b" " + c, ab, b, last, ab + b" " + last, b + b" " + last, one)
-    return [*(crc % END_FEATURES for crc in map(zlib.crc32, parts, _KINDS[listed])), _COUNTS[listed][min(len(words), 6)], _LENGTHS[length]]
+_STOPS = frozenset(".۔?!؟।")
 
 
 def _logistic(rows: list[list[int]], y: list[float]) -> tuple[np.ndarray, float]:
     """Weights and bias over rows of the same number of hashed features; both classes weigh the same."""
     at, y = np.ascontiguousarray(np.array(rows).T), np.array(y)
-    return descent.logistic(lambda x: descent.logistic_slope(at, y, *x[0], y.sum(), len(y) - y.sum()), 1, END_FEATURES)[0]
+    steep = descent.bound(len(at), descent.shown(at, y, END_FEATURES))
+    return descent.logistic(lambda x: descent.logistic_slope(at, y, *x[0], y.sum(), len(y) - y.sum()), [steep])[0]
 
 
 class Linear:
@@ -155,31 +159,22 @@ class Ends(Linear):
     """Tells whether a unit of text is at its end after its last words."""
 
     def end(self, words: list[str], listed: bool) -> float:
-        return self.chance(_end_features(words, listed))
+        numbered = blocks.Numbered()
+        at = [-1, -1, -1, *(numbered[w] for w in words[-3:])][-3:]
+        return self.chance(blocks.Endings(numbered).features(*np.array(at)[:, None], np.array([len(words)]), np.array([listed]))[:, 0].tolist())
 
 
 def _add_ends(text: str, rng: random.Random, rows: list[list[int]], y: list[float]) -> None:
     """Adds the finished units of a text in consistent lines and simulated cuts of them."""
-    t = without_code(text).rstrip()
-    units = [u for u in _UNITS.split(t) if u.strip()]
-    if units and not _STOP.search(t):
+    units, stopped, _ = _divided(text)
+    if units and not stopped:
         units.pop()
-    for u in units:
-        w, listed = _tokens(u)
-        if not w:
-            continue
-        rows.append(_end_features(w, listed))
-        y.append(1.0)
-        for k in range(4):
-            i = rng.randrange(len(w))
-            if k < 2 and i < len(w) - 1:
-                cut = w[: i + 1]
-            elif len(w[i]) > 1:
-                cut = [*w[:i], w[i][: rng.randrange(1, len(w[i]))]]
-            else:
-                continue
-            rows.append(_end_features(cut, listed))
-            y.append(0.0)
+    words, listed = blocks.Numbered(), np.array([_LISTED.match(u) is not None for u in units], dtype=bool)
+    own = _unit_words(units)
+    seeds = blocks.seeds(np.array([rng.getrandbits(40)], dtype=np.uint64), np.array([len(units)]))
+    at, classes, times = blocks.end_rows(words, np.array([words[w] for u in own for w in u], dtype=np.int64), np.array([len(u) for u in own], dtype=np.int64), listed, seeds)
+    rows += np.repeat(at, times, axis=1).T.tolist()
+    y += np.repeat(classes, times).astype(float).tolist()
 
 
 def fit_ends(outputs: list[str], seed: int = 7) -> Ends:
@@ -214,9 +209,9 @@ class Refusals(Linear):
 
 
 def _add_refusal(low: str, parts: int, rows: list[list[int]], y: list[float]) -> None:
-    low = _QUOTES.sub(" ", low)
+    low = _unquoted(low)
     rows.append(_frames(_WORDS.findall(low)))
-    y.append(float(parts <= 2 and any(x in low for x in _STEMS) and _PREDICATE.search(low) is not None and _OBJECT.search(low) is not None))
+    y.append(float(parts <= 2 and _says_no(low) and _of_asking(low)))
 
 
 def fit_refusals(outputs: list[str]) -> Refusals:
@@ -227,11 +222,16 @@ def fit_refusals(outputs: list[str]) -> Refusals:
     return Refusals(*_logistic(rows, y)) if SEEDS <= sum(y) < len(y) else Refusals(np.zeros(END_FEATURES), 0.0)
 
 
+def _divided(text: str) -> tuple[list[str], bool, bool]:
+    """The units of a text in consistent lines without code, whether it ends with a stop and whether with dots."""
+    t = without_code(text).rstrip()
+    return [u for u in _UNITS.split(t) if u and not u.isspace()], *_ended(t)
+
+
 def _unfinished(text: str) -> tuple[list[str], str | None]:
     """The finished units of a text in consistent lines without code, and a last one that has no stop."""
-    t = without_code(text).rstrip()
-    units = [u for u in _UNITS.split(t) if u.strip()]
-    return (units[:-1], units[-1]) if units and (not _STOP.search(t) or _DOTS.search(t)) else (units, None)
+    units, stopped, dots = _divided(text)
+    return (units[:-1], units[-1]) if units and (dots or not stopped) else (units, None)
 
 
 _ITEMS = re.compile(r"^[^\S\n]*(?:[-*•#>]+|\d+[.)])[^\S\n]*", re.M)
@@ -287,38 +287,43 @@ class Votes:
             return self.refused(low, a, sentences(text, True)), None
         return self.empty(flat, asked[0], a) if defect == "empty_answer" else self.copied(*asked[:2], a), None
 
-    def empty(self, flat: str, q: list[str], a: list[str]) -> tuple[int, ...]:
-        flat = _MARK.sub(" ", flat).strip()
+    @staticmethod
+    def empty(flat: str, q: list[str], a: list[str]) -> tuple[int, ...]:
+        flat = _MARK.sub(" ", flat).strip() if "<|" in flat else flat.strip()
         content = any(w not in _EMPTY_WORDS and w not in ("n", "a") and not (w == "no" and a[k + 1 : k + 2] in (["answer"], ["output"], ["response"])) for k, w in enumerate(a))
         size, asked = sum(map(len, a)), sum(map(len, q))
         return (
             1 if not a else 0 if len(a) <= 3 else -1,
             0 if not a else -1 if content else 1,
-            1 if flat[:1] == "#" or flat[-1:] in (":", "：") else -1 if any(w.isdigit() for w in a) or len(a) > 3 and _STOP.search(flat) else 0,
-            -1 if any(len(w) > 3 for w in set(a) & set(q)) else 0,
+            1 if flat[:1] == "#" or flat[-1:] in (":", "：") else -1 if len(a) > 3 and _ended(flat)[0] or any(w.isdigit() for w in a) else 0,
+            -1 if any(len(w) > 3 for w in set(q).intersection(a)) else 0,
             0 if size <= 0.4 * asked else -1,
         )
 
-    def copied(self, q: list[str], more: list[str], a: list[str]) -> tuple[int, ...]:
+    @staticmethod
+    def copied(q: list[str], more: list[str], a: list[str]) -> tuple[int, ...]:
         """Of the run of words, the stream of letters, the bag of words, the length and the end."""
         if not q:
             return (0,) * 5
-        asked_words, answer, letters, own, given = " ".join(q), f" {' '.join(a)} ", "".join(a), "".join(q), "".join(more)
-        body = answer.strip()
-        while (m := _QUESTION.match(body)) and m.end() < len(body):
-            body = body[m.end() :]
-        rest = f" {body} "
-        for piece in (asked_words, " ".join(more)):
-            while piece and f" {piece} " in rest:
-                rest = rest.replace(f" {piece} ", "  ")
-        left = letters.replace(own, "")
-        left = left.replace(given, "") if given else left
+        asked_words, letters, own, given, rest = " ".join(q), "".join(a), "".join(q), "".join(more), None
+        if own in letters:
+            answer = f" {' '.join(a)} "
+            if f" {asked_words} " in answer:
+                body = answer.strip()
+                while (m := _QUESTION.match(body)) and m.end() < len(body):
+                    body = body[m.end() :]
+                rest = f" {body} "
+                for piece in (asked_words, " ".join(more)):
+                    while piece and f" {piece} " in rest:
+                        rest = rest.replace(f" {piece} ", "  ")
+            left = letters.replace(own, "")
+            left = left.replace(given, "") if given else left
         qw, aw = {*q}, {*a}
         covered, needed = len(aw & {*qw, *more}) / max(1, len(aw)), len(qw & aw) / len(qw)
         times = len(letters) / max(1, len(own))
         near = min(abs(times - round(times)), abs((len(letters) - len(given)) / max(1, len(own)) - 1)) if round(times) else 1.0
         return (
-            -1 if f" {asked_words} " not in answer or len(rest.split()) > 2 else 0 if rest.strip() else 1,
+            -1 if rest is None or len(rest.split()) > 2 else 0 if rest.strip() else 1,
             1 if own in letters and len(left) <= max(12, 0.2 * len(own)) else -1,
             1 if covered > 0.97 and needed > 0.97 else 0 if covered > 0.8 and needed > 0.8 else -1,
             1 if near < 0.02 else 0 if near < 0.25 else -1,
@@ -327,40 +332,22 @@ class Votes:
 
     def refused(self, low: str, a: list[str], parts: list[str]) -> tuple[int, ...]:
         """It says no; it speaks of asking or helping; it is short; the machine; it quotes or writes to someone."""
-        whole, low = low, _QUOTES.sub(" ", low)  # what is quoted isn't said
+        no, asking, short, quotes = _refusal_signs(low, _unquoted(low), len(parts))
         chance = self.refusals.refusal(a)
-        return (
-            1 if any(x in low for x in _STEMS) and _PREDICATE.search(low) else -1,
-            1 if any(x in low for x in _OBJECTS) or _AI.search(low) else -1,
-            1 if len(parts) <= 2 else 0 if len(parts) <= 4 else -1,
-            1 if chance > 0.85 else -1 if chance < 0.3 else 0,
-            -1 if _QUOTED.search(whole) else 0,
-        )
+        return no, asking, short, 1 if chance > SAID else -1 if chance < UNSAID else 0, quotes
 
     def truncated(self, text: str, finished: list[str], open_: str | None) -> tuple[tuple[int, ...], str | None]:
         """The machine for ends; an open code block or item; a sign that goes on. The last word follows if it is open."""
-        unit = open_ if open_ is not None else finished[-1] if finished else ""
-        words, listed = _tokens(unit)
-        p = self.ends.end(words, listed) if words else 0.5
-        last_line = text[text.rfind("\n") + 1 :]
-        fences = text.count("```")
-        stopped = _STOP.search(text) is not None and not _DOTS.search(text)
-        closed = fences and not fences % 2 and text.endswith("```") or _AFTER.search(text) is not None or _ASIDE.search(text) is not None
-        bare = _BARE.fullmatch(last_line) is not None
-        tiny = not finished and len(words) <= 2 or not words  # a word or two are an answer, or end nowhere
-        machine = 0 if tiny or bare or fences % 2 else -1 if closed else 1 if p < CUT else -1 if p > END else 0
-        shut = -1 if (stopped or closed) and not bare else 0
-        return (
-            machine,
-            1 if fences % 2 or text.endswith(("\n`", "\n``")) or bare else shut,
-            1 if text and text[-1] in _GOING_ON and not tiny and not closed else shut,
-        ), words[-1] if open_ is not None and not tiny and not closed else None
+        machine, *signs, words, listed, last = _cut_signs(text, finished, open_)
+        if machine is None:
+            p = self.ends.end(words, listed)
+            machine = 1 if p < CUT else -1 if p > END else 0
+        return (machine, *signs), last
 
     def asked_languages(self, asked: str, questions: list[str]) -> tuple[frozenset, ...]:
         """Of an instruction: the languages that the machines see, those that it asks for, its scripts and
         the languages by function words and by letters."""
-        by = [family(p) for p in questions]
-        wanted = frozenset(k for k, stems in _ASKED_STEMS.items() if any(x in asked for x in stems) and _ASKED[k].search(asked))
+        by, wanted = [family(p) for p in questions], _wanted(asked)
         own = frozenset(_one(x) for x in self.machines.languages(questions, by))
         return own, wanted, frozenset(x[0] for x in by) - {None}, frozenset(map(_common, questions)) - {None}, frozenset(_lettered(*x) for x in by) - {None}
 
@@ -387,6 +374,48 @@ class Votes:
         )
 
 
+def _wanted(asked: str) -> frozenset:
+    """The languages that an instruction asks for."""
+    return frozenset(k for k, stems in _ASKED_STEMS.items() if any(x in asked for x in stems) and _ASKED[k].search(asked))
+
+
+def _unquoted(low: str) -> str:
+    """A text without what it quotes, which isn't said."""
+    return _QUOTES.sub(" ", low) if any(x in low for x in "'\"“«‘") else low
+
+
+def _says_no(low: str) -> bool:
+    return any(x in low for x in _STEMS) and _PREDICATE.search(low) is not None
+
+
+def _of_asking(low: str) -> bool:
+    return any(x in low for x in _OBJECTS) or _AI.search(low) is not None
+
+
+def _refusal_signs(whole: str, low: str, parts: int) -> tuple[int, int, int, int]:
+    """It says no; it speaks of asking or helping; it is short; it quotes or writes to someone."""
+    return 1 if _says_no(low) else -1, 1 if _of_asking(low) else -1, 1 if parts <= 2 else 0 if parts <= 4 else -1, -1 if _quotes(whole) else 0
+
+
+def _quotes(low: str) -> bool:
+    return any(x in low for x in _QUOTED_PARTS) and _QUOTED.search(low) is not None
+
+
+def _cut_signs(text: str, finished: list[str], open_: str | None) -> tuple[int | None, int, int, list[str], bool, str | None]:
+    """The vote of the machine for ends if it needs none, else None; of an open code block or item; of a sign
+    that goes on; the words of the last unit and whether it is a list item; the last word if it is open."""
+    words, listed = _tokens(open_ if open_ is not None else finished[-1] if finished else "")
+    fences, last = text.count("```"), text[-1:]
+    stopped, dots = _ended(text)
+    closed = bool(fences and not fences % 2 and text.endswith("```") or last and not (last.isalpha() or last in _STOPS) and (_AFTER.search(text) or _ASIDE.search(text)))
+    bare = last in _BARE_ENDS and _BARE.fullmatch(text[text.rfind("\n") + 1 :]) is not None
+    tiny = not finished and len(words) <= 2 or not words  # a word or two are an answer, or end nowhere
+    machine = 0 if tiny or bare or fences % 2 else -1 if closed else None
+    shut = -1 if (stopped and not dots or closed) and not bare else 0
+    block = 1 if fences % 2 or text.endswith(("\n`", "\n``")) or bare else shut
+    return machine, block, 1 if last and last in _GOING_ON and not tiny and not closed else shut, words, listed, words[-1] if open_ is not None and not tiny and not closed else None
+
+
 def _text(output: str | None) -> str:
     """An output in consistent lines without characters that show nothing."""
     return lines((output or "") if (output or "").isascii() else _HIDDEN.sub("", output or ""))
@@ -438,35 +467,192 @@ def _sampled(train: DataFrame) -> list:
     return bounded_sample(labelled.where("instruction is not null and length(output) > 20"), SAMPLE_ROWS, 0, "row_id", "label")
 
 
+#: What texts are told apart by before a phrase is searched: of each phrase the longest run of letters, which is within a word.
+def _runs(*phrases: str) -> tuple[str, ...]:
+    return tuple(sorted({max(_WORDS.findall(p), key=len) for p in phrases}))
+
+
+_NO_RUNS, _ASKING_RUNS = _runs(*_STEMS), _runs(*_OBJECTS, "ai")
+_QUOTED_RUNS = _runs(*_QUOTED_PARTS)
+_COMMON = {w: tuple(map(list(FUNCTION_WORDS).index, v)) for w, v in _LANGUAGES_OF.items()}
+_SCRIPTS, _COMMON_NAMES, _LETTERED = tuple(FAMILIES), tuple(map(_one, FUNCTION_WORDS)), ("hindi", "urdu", "english", "arabic or persian")
+_SPOKEN = tuple(map(_one, LANGUAGES))
+
+
+#: Stands between the units of a text among its words.
+_BREAK = "\uffff\ufffe\uffff"
+
+
+class _Pieces(dict):
+    """The numbers of the words that a token of a unit holds, spelt as _tokens does."""
+
+    def __init__(self, words: blocks.Numbered):
+        self.words = words
+        self[_BREAK] = (-1,)
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        got = self[token] = tuple(map(self.words.__getitem__, _STRIPPED.sub(" ", _NUMBER.sub("0", token)).split()))
+        return got
+
+
+class Block:
+    """What the texts of some rows show before the machines are fitted."""
+
+    def __init__(self):
+        self.n, self.units = 0, 0
+        self.ids, self.fitted, self.wanted, self.codes = [], [], [], []
+        self.lows, self.parts, self.answers, self.answer_length = [], [], [], []
+        self.words, self.tokens, self.pieces = blocks.Numbered(), blocks.Numbered(), blocks.Numbered()
+        self.pieces_of = _Pieces(self.pieces)
+        self.sentences, self.sentence_length, self.per_text, self.label, self.fold = [], [], [], [], []
+        self.unit_words, self.unit_listed, self.per_unit = [], [], []  # of each text: its units, those that are counted, whether the pair is fitted on, the seed
+        self.ends: list[tuple[list[str], bool]] = []
+        self.cut: list[tuple] = []  # base, word and row of ends of each row
+        self.planted: Counter = Counter()
+        self.planted_cuts: list[tuple] = []
+
+    def add(self, i: int | None, label: str | None, instruction: str, given: str | None, output: str | None) -> None:
+        text = _text(output)
+        flat, parts = " ".join(text.split()), sentences(text, True)
+        asked = consistent(instruction).lower()
+        low, a = _answer_words(flat)
+        fitted = len(output or "") > 20
+        self.ids.append(i)
+        self.fitted.append(fitted)
+        self.lows.append(low)
+        self.parts.append(len(parts))
+        self.answers += map(self.words.__getitem__, a)
+        self.answer_length.append(len(a))
+        known = LANGUAGES.index(label) if fitted and label in LANGUAGES else -1
+        self._sentences(sentences(instruction), -1)
+        self._sentences(parts, known)
+        units, stopped, dots = _divided(text)
+        finished, open_ = (units[:-1], units[-1]) if units and (dots or not stopped) else (units, None)
+        self._units(units if stopped else finished, len(finished), text if fitted else None, i is not None)
+        q, more = _WORDS.findall(asked), _WORDS.findall(consistent(given).lower()) if given and given.strip() else []
+        self.codes.append((_code(Votes.empty(flat, q, a)), _code(Votes.copied(q, more, a))))
+        self.wanted.append(sum(1 << list(ASKED).index(k) for k in _wanted(asked)))
+        self.cut.append(self._cut(text.rstrip(), finished, open_))
+        if i is not None:
+            seed = zlib.crc32(b"%d" % i)
+            defect = PLANTED[seed % len(PLANTED)]
+            if made := _damaged(defect, instruction, given, output, random.Random(seed)):
+                text = _text(made[0])
+                if defect == "truncated_answer":
+                    self.planted_cuts.append(self._cut(text.rstrip(), *_unfinished(text)))
+                else:
+                    flat = " ".join(text.split())
+                    a = _answer_words(flat)[1]
+                    self.planted[defect, _code(Votes.empty(flat, q, a) if defect == "empty_answer" else Votes.copied(q, more, a))] += 1
+        self.n += 1
+
+    def _sentences(self, parts: list[str], label: int) -> None:
+        self.sentences += map(self.tokens.__getitem__, " ".join(parts).split())
+        self.sentence_length += [s.count(" ") + 1 for s in parts]
+        self.per_text.append(len(parts))
+        self.label.append(label)
+        if label >= 0:
+            self.fold += [blocks.crc(s) % 5 for s in parts]
+
+    def _units(self, units: list[str], counted: int, fitted: str | None, pair: bool) -> None:
+        if not units:
+            return
+        listed = [not u[0].isalpha() and _LISTED.match(u) is not None for u in units]
+        self.unit_listed += listed
+        whole = f" {_BREAK} ".join(u if u[0].isalpha() else _ITEM.sub("", u) for u in (units if _BREAK not in "".join(units) else [u.replace(_BREAK, " ") for u in units]))
+        self.unit_words += chain.from_iterable(map(self.pieces_of.__getitem__, whole.split()))
+        self.unit_words += self.pieces_of[_BREAK]
+        self.units += len(units) * (fitted is not None)
+        self.per_unit.append((len(units), counted if pair else 0, fitted is not None, random.Random(blocks.crc(fitted)).getrandbits(40) if fitted is not None else 0))
+
+    def _cut(self, text: str, finished: list[str], open_: str | None) -> tuple[int, str | None, int]:
+        """The vote pattern without the machine, the last word if it is open, and the row that the machine is asked for."""
+        machine, *signs, words, listed, last = _cut_signs(text, finished, open_)
+        if machine is None:
+            self.ends.append((words, listed))
+        return _code((-1 if machine is None else machine, *signs)), last, -1 if machine is not None else len(self.ends) - 1
+
+    def closed(self) -> pa.RecordBatch:
+        """Row-wise signs; rows of the machines for ends and refusals; labelled sentences."""
+        whole = lambda x: np.array(x, dtype=np.int64)
+        fitted, lengths = np.array(self.fitted, dtype=bool), whole(self.answer_length)
+        # refusals
+        answers, of_text = whole(self.answers), np.repeat(np.arange(self.n), lengths)
+        shown = np.zeros((self.n, 3), dtype=bool)
+        for k, runs in enumerate((_NO_RUNS, _ASKING_RUNS, _QUOTED_RUNS)):
+            shown[of_text[blocks.holding(self.words, runs)[answers]], k] = True
+        hashes, skipped = np.array([blocks.crc(w) for w in self.words], dtype=np.uint64), np.array([w in _PHRASED for w in self.words], dtype=bool)
+        frames = blocks.least(of_text, answers, hashes, skipped, self.n, FRAMES, END_FEATURES)
+        unquoted, said, refusal = frames.copy(), np.zeros(self.n, dtype=np.int8), []
+        for k, (low, parts, (no, asking, quotes)) in enumerate(zip(self.lows, self.parts, shown.tolist())):
+            marked, own = "<|" in low, _unquoted(low)
+            signs = 1 if (no or marked) and _says_no(own) else -1, 1 if (asking or marked) and _of_asking(own) else -1, 1 if parts <= 2 else 0 if parts <= 4 else -1
+            refusal.append(_code((*signs, -1, -1 if (quotes or marked) and _quotes(low) else 0)))
+            if marked or own is not low:
+                unquoted[:, k] = _frames(_WORDS.findall(own))
+            said[k] = signs == (1, 1, 1)
+        # words and ends of units
+        pieces, listed = whole(self.unit_words), np.array(self.unit_listed, dtype=bool)
+        ends_at = np.flatnonzero(pieces < 0)
+        per, pieces = np.diff(ends_at, prepend=-1) - 1, pieces[pieces >= 0]
+        n_units, n_counted, fit, seed = np.array(self.per_unit or np.zeros((0, 4)), dtype=np.int64).T
+        place = np.arange(len(per)) - np.repeat(blocks.starts(n_units), n_units)
+        counted, fit, seeds = place < np.repeat(n_counted, n_units), np.repeat(fit, n_units) > 0, blocks.seeds(seed.astype(np.uint64), n_units)
+        n = np.bincount(pieces[np.repeat(counted, per)], minlength=len(self.pieces))
+        last = np.bincount(pieces[(blocks.starts(per) + per - 1)[counted & (per > 0)]], minlength=len(self.pieces))
+        words = [(w, a, b) for w, a, b in zip(self.pieces, n.tolist(), last.tolist()) if a]
+        rows = blocks.end_rows(self.pieces, pieces[np.repeat(fit, per)], per[fit], listed[fit], seeds[fit])
+        asked_of = blocks.Numbered()
+        three = whole([[-1, -1, -1, *(asked_of[w] for w in x[-3:])][-3:] for x, _ in self.ends]).reshape(-1, 3)
+        ends = blocks.Endings(asked_of).features(*three.T, whole([len(x) for x, _ in self.ends]), np.array([x for _, x in self.ends], dtype=bool))
+        # languages
+        s = blocks.Sentences(self.tokens, whole(self.sentences), whole(self.sentence_length), _COMMON, URDU_LETTERS)
+        owner, features = np.repeat(np.arange(2 * self.n), self.per_text), s.features()
+        label, fold = np.repeat(self.label, self.per_text), np.zeros(s.n, dtype=np.int8)
+        fold[label >= 0] = self.fold
+        sides = [blocks.bits(owner, x, 2 * self.n, width) for x, width in ((s.family, len(_SCRIPTS)), (s.common, len(_COMMON_NAMES)), (s.lettered, len(_LETTERED)))]
+        tokens = np.bincount(owner, self.sentence_length, 2 * self.n)[1::2]
+        rowwise = {
+            "ids": self.ids, "codes": np.array(self.codes, dtype=np.uint8), "refusal": np.array(refusal, dtype=np.int16), "frames": frames, "cut": self.cut, "ends": ends, "words": words,
+            "planted": dict(self.planted), "planted_cuts": self.planted_cuts, "wanted": np.array(self.wanted, dtype=np.int8), "sides": [x.astype(np.int16) for x in sides], "short": tokens < 4,
+            "said": (features, s.family.astype(np.int8), s.share.astype(np.float32), *map(blocks.small, (s.most, s.ids, np.array(self.per_text)))),
+        }
+        learnt = rows, blocks.grouped(unquoted[:, fitted], said[fitted])
+        blobs = pickle.dumps(rowwise), pickle.dumps(learnt), pickle.dumps(s.labelled(label, fold, features))
+        return pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], names=list(_BLOBS))
+
+
+_BLOBS = ("pairs", "texts", "sentences")
+
+
 def _encoded(train: DataFrame) -> DataFrame:
-    """Blocks of hashed features of all outputs: the rows of the machines for ends and refusals, and labelled sentences."""
+    """Blocks of all pairs: what each shows before the machines are fitted, and what these are fitted on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block()
         for b in batches:
-            ends, end, framed, refused, labelled = [], [], [], [], []
-            for k, (label, output) in enumerate(zip(*(c.to_pylist() for c in b.columns)), 1):
-                text = _text(output)
-                parts = sentences(text, True)
-                _add_ends(text, random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass"))), ends, end)
-                _add_refusal(" ".join(text.split()).lower(), len(parts), framed, refused)
-                if label in LANGUAGES:
-                    labelled.append((label, parts))
-                if len(ends) > BLOCK_ROWS or k == b.num_rows:
-                    rows = descent.packed(ends, end, END_WIDTH), descent.packed(framed, refused, FRAMES)
-                    yield descent.block_of(pickle.dumps(rows), descent.encoded_sentences(labelled))
-                    ends, end, framed, refused, labelled = [], [], [], [], []
-
-    rows = spread(train.select(label_language().alias("label"), "output").where("instruction is not null and length(output) > 20"))
-    return rows.mapInArrow(run, "texts binary, sentences binary")
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                block.add(*row)
+                if 5 * block.units > BLOCK_ROWS or block.n >= BLOCK_ROWS // 10:
+                    yield block.closed()
+                    block = Block()
+        if block.n:
+            yield block.closed()
+
+    label = label_language() if "lang" in train.columns else F.lit(None).cast("string")  # votes need no labels
+    rows = spread(train.select(F.col("row_id").cast("long"), label.alias("label"), "instruction", "input", "output").where("instruction is not null and (row_id is not null or length(output) > 20)"))
+    return rows.mapInArrow(run, ", ".join(f"{x} binary" for x in _BLOBS))
 
 
 def fit_votes(rows: DataFrame | list) -> Votes:
-    """Machines fitted on all rows of a table, or in memory on a list of rows as _sampled gives it."""
+    """Machines fitted on all rows of a table or of its blocks, or in memory on a list of rows as _sampled gives it."""
     if isinstance(rows, DataFrame):
-        blocks = descent.stored(_encoded(rows))
-        ends, refusals = descent.fit_logistic(blocks, 2, END_FEATURES, (1, SEEDS))
-        machines = descent.fit_languages(blocks)
-        blocks.unpersist()
+        read = rows if "sentences" in rows.columns else materialize(_encoded(rows))
+        texts, said = descent.stored(read, "texts"), descent.stored(read, "sentences")
+        ends, refusals = descent.fit_logistic(texts, (END_WIDTH, FRAMES), END_FEATURES, (1, SEEDS))
+        texts.unpersist()
+        machines = descent.fit_languages(said)
+        said.unpersist()
         return Votes(machines, Ends(*ends), Refusals(*refusals))
     outputs = [r["output"] for r in rows][:SAMPLED_ROWS]
     return Votes(fit([(r["label"], r["output"]) for r in rows if r["label"] in LANGUAGES]), fit_ends(outputs), fit_refusals(outputs))
@@ -478,40 +664,75 @@ _TYPES = (pa.int64(), *[pa.int32()] * len(DEFECTS), pa.string(), pa.int64(), pa.
 PLANTED = ("empty_answer", "copied_question", "truncated_answer")
 
 
+def _chances(machine: Linear, at: np.ndarray) -> np.ndarray:
+    """Linear.chance of many rows of features, a row of `at` for each place."""
+    z = np.full(at.shape[1], machine.bias)
+    for column in at:
+        z += machine.weights[column]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _names(bits: int, names: tuple[str, ...]) -> frozenset:
+    return frozenset(x for k, x in enumerate(names) if bits >> k & 1)
+
+
+def _decided(pairs: dict, vote: Votes) -> list[tuple]:
+    """The rows of _passed for a block."""
+    n, none = len(pairs["ids"]), [None] * (1 + len(DEFECTS))
+    real = np.array([i is not None for i in pairs["ids"]], dtype=bool)
+    chance = _chances(vote.refusals, pairs["frames"])
+    refusal = pairs["refusal"] + 3 * (1 + np.where(chance > SAID, 1, np.where(chance < UNSAID, -1, 0)))
+    p = _chances(vote.ends, pairs["ends"])
+    machine = np.where(p < CUT, 2, np.where(p > END, 0, 1)).tolist()
+    cut = lambda base, at: base + 9 * machine[at] if at >= 0 else base
+    features, family_, share, *others = pairs["said"]
+    most, ids, per_text = (x.astype(np.int64) for x in others)
+    spoken = blocks.spoken(vote.machines, features, family_, share.astype(np.float64), most, ids, np.repeat(np.arange(2 * n), per_text), 2 * n) @ (1 << np.arange(len(LANGUAGES)))
+    key = spoken
+    for x, width in zip(pairs["sides"], (len(_SCRIPTS), len(_COMMON_NAMES), len(_LETTERED))):
+        key = key << width | x
+    asked_key, said_key = key[::2] << len(ASKED) | pairs["wanted"], np.where(pairs["short"], -1, key[1::2])
+
+    def sides(x: int) -> list[frozenset]:
+        out = []
+        for names in (_LETTERED, _COMMON_NAMES, _SCRIPTS, _SPOKEN):
+            out.append(_names(x & (1 << len(names)) - 1, names))
+            x >>= len(names)
+        return out[::-1]
+
+    asked, said, planted = {}, {-1: None}, Counter()
+    for x in set(asked_key.tolist()):
+        own, *rest = sides(x >> len(ASKED))
+        asked[x] = (own, _names(x & (1 << len(ASKED)) - 1, tuple(ASKED)), *rest)
+    for x in {*said_key.tolist()} - {-1}:
+        said[x] = tuple(sides(x))
+    both = list(zip(asked_key.tolist(), said_key.tolist()))
+    language = {x: _code(Votes.language(asked[x[0]], said[x[1]])) for x in set(both)}
+    rows = [(i, e, c, r, cut(base, at), language[x], word, None, None, None, None) for i, (e, c), r, (base, word, at), x in zip(pairs["ids"], pairs["codes"].tolist(), refusal.tolist(), pairs["cut"], both) if i is not None]
+    rows += [(*none, w, k, at_end, None, None) for w, k, at_end in pairs["words"]]
+    rows += [(*none, None, k, None, defect, code) for (defect, code), k in pairs["planted"].items()]
+    for base, word, at in pairs["planted_cuts"]:
+        planted["truncated_answer", word, cut(base, at)] += 1
+    for kind, keys, of in (("asked", asked_key, asked), ("said", said_key, said)):
+        for x, k in Counter(keys[real].tolist()).items():
+            planted[kind, json.dumps(of[x] and [sorted(y) for y in of[x]]), None] += k
+    return rows + [(*none, word, k, None, kind, code) for (kind, word, code), k in planted.items()]
+
+
 def _passed(train: DataFrame, vote: Votes) -> DataFrame:
-    """One pass over all pairs: a row for each with its votes as numbers in base 3 and its open
-    last word; rows without row_id that count the words of a batch's finished units; and rows
-    that count, by `planted`, the votes on simulated defects and the languages of instructions
-    ("asked") and of outputs ("said")."""
+    """From the texts, or from blocks of them, a row for each pair with its votes as numbers in
+    base 3 and its open last word; rows without row_id that count the words of a block's finished
+    units; and rows that count, by `planted`, the votes on simulated defects and the languages of
+    instructions ("asked") and of outputs ("said")."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = [None] * (1 + len(DEFECTS))
         for b in batches:
-            rows, inside, at_end, planted = [], Counter(), Counter(), Counter()
-            for i, q, g, a in zip(*(c.to_pylist() for c in b.columns)):
-                asked = vote.asked(q, g)
-                v, word, finished, said = vote.voted(asked, a)
-                rows.append((i, *map(_code, v), word, None, None, None, None))
-                for w in _unit_words(finished):
-                    inside.update(w)
-                    at_end.update(w[-1:])
-                planted["asked", asked[2], None] += 1
-                planted["said", said, None] += 1
-                seed = zlib.crc32(b"%d" % i)
-                defect = PLANTED[seed % len(PLANTED)]
-                if made := _damaged(defect, q, g, a, random.Random(seed)):
-                    one, word = vote.planted(defect, asked, made[0])
-                    planted[defect, word, _code(one)] += 1
-            rows += [(*none, w, n, at_end[w], None, None) for w, n in inside.items()]
-            for (kind, word, code), n in planted.items():
-                if kind in ("asked", "said"):
-                    word = json.dumps(word and [sorted(x) for x in word])
-                rows.append((*none, word, n, None, kind, code))
-            cols = list(zip(*rows)) if rows else [()] * len(_COLUMNS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=list(_COLUMNS))
-
-    rows = spread(train.select(F.col("row_id").cast("long"), "instruction", "input", "output").where("row_id is not null and instruction is not null"))
-    return rows.mapInArrow(run, "row_id long, " + ", ".join(f"{d} int" for d in DEFECTS) + ", word string, n long, n_ends long, planted string, code int")
+            for blob in b.column(0):
+                cols = list(zip(*_decided(pickle.loads(blob.as_buffer()), vote))) or [()] * len(_COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=list(_COLUMNS))
+
+    read = train if "sentences" in train.columns else _encoded(train)
+    return read.select("pairs").mapInArrow(run, "row_id long, " + ", ".join(f"{d} int" for d in DEFECTS) + ", word string, n long, n_ends long, planted string, code int")
 
 
 def _by_counts(n, n_ends, begun):
@@ -554,7 +775,8 @@ def votes(train: DataFrame, vote: Votes | None = None) -> DataFrame:
     """row_id and for each defect the votes of its functions, as a number in base 3.
     Null instructions are no case and have no row. Last words meet the counts of all
     outputs after the votes, so no text is shuffled for them."""
-    passed = materialize(_passed(train, vote or fit_votes(train)))
+    read = materialize(_encoded(train))
+    passed = materialize(_passed(read, vote or fit_votes(read)))
     return _votes(passed, _looked_up(passed))
 
 
@@ -669,8 +891,9 @@ def _planted_codes(passed: DataFrame, looked_up: DataFrame, vote: Votes) -> dict
 def _judged(train: DataFrame) -> tuple[DataFrame, list[tuple], list[tuple]]:
     """row_id, defect, code of all pairs; (defect, code, posterior) of the patterns that are
     taken; and a row for each labelling function."""
-    vote = fit_votes(train)
-    passed = materialize(_passed(train, vote))
+    read = materialize(_encoded(train))
+    vote = fit_votes(read)
+    passed = materialize(_passed(read, vote))
     looked_up = materialize(_looked_up(passed))
     v = materialize(_votes(passed, looked_up))
     half = F.pmod(F.xxhash64("row_id"), F.lit(2)).alias("half")

@@ -1,10 +1,12 @@
+import pickle
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from tarazu.llm import defects
+from tarazu.llm import blocks, defects, descent
 from tarazu.llm.answers import is_empty_answer, lines
 
 URDU, ROMAN, ENGLISH = "یہاں کے استاد بچوں کو پہاڑ اور شیشہ کا فرق سمجھاتے ہیں", "Yahan ke ustad bachon ko pahar aur sheesha ka farq samjhate hain", "Teachers here explain the difference between rice and glass to children"
@@ -169,3 +171,55 @@ def test_machines_and_cutoffs_come_from_all_rows(train, monkeypatch):
     pairs = train.where("row_id is not null and instruction is not null").count()
     assert all(made.values()) and 0.8 * pairs < sum(sum(made[d].values()) for d in defects.PLANTED) <= pairs
     assert sum(made["other_language"].values()) > pairs
+
+
+def test_blocks_vote_as_pairs_do(make_train, train, vote):
+    """All texts at once, and read once, give what Votes gives of each."""
+    columns = ["row_id", "lang", "instruction", "input", "output"]
+    odd = [*CASES, (ASK, None, "One... two\n- 3.5 (a)b\n1. x", 0), ("", "", f"<|im_start|> {ENGLISH} <|im_end|>", 0), (ASK, None, f"say 'I can't help.' {ROMAN}. नमस्ते दुनिया यह है कि है।", 0), (ASK, None, "\uffff\ufffe\uffff a. b \uffff\ufffe\uffff c.", 0)]
+    own = make_train(*[{"row_id": 10**9 + k, "instruction": q, "input": g, "output": a} for k, (q, g, a, _) in enumerate(odd)])
+    rows = train.select(columns).unionByName(own.select(columns)).where("row_id is not null and instruction is not null")
+    got, counted, n = {}, {}, Counter()
+    for r in defects._passed(rows, vote).collect():
+        if r.row_id is not None:
+            got[r.row_id] = (*(r[d] for d in defects.DEFECTS), r.word)
+        elif r.planted is None:
+            counted[r.word] = counted.get(r.word, np.zeros(2, dtype=int)) + (r.n, r.n_ends)
+    wanted = {}
+    for r in rows.collect():
+        codes, word, finished = vote(r.instruction, r.input, r.output)
+        wanted[r.row_id] = (*map(defects._code, codes), word)
+        for w in defects._unit_words(finished):
+            n.update(w)
+    assert got == wanted and {w: x[0] for w, x in counted.items() if "\uffff" not in w} == {w: k for w, k in n.items() if "\uffff" not in w}
+
+
+def test_the_descent_is_short(train, monkeypatch):
+    """Few rounds over the blocks, from which equal rows are gone; texts are read once. It was 120 rounds over all
+    rows for each logistic machine and 100 for the language machines, on texts that were read twice."""
+    rounds, reads = [], []
+    summed, add = descent.summed, defects._encoded
+    monkeypatch.setattr(descent, "summed", lambda *x: rounds.append(x[1]) or summed(*x))
+    monkeypatch.setattr(defects, "_encoded", lambda t: reads.append(t) or add(t))
+    defects.votes(train).count()
+    assert len(rounds) < 90 and len(reads) == 1
+    block = defects.Block()
+    for k in range(50):
+        block.add(k, "english", ASK, None, f"{ENGLISH}. {ENGLISH}.")
+    (at, y, times), _ = pickle.loads(block.closed().column(1)[0].as_py())
+    assert times.sum() >= 50 * 2 * 3 and len(y) < 60 and at.shape == (blocks.END_WIDTH, len(y))
+
+
+def test_few_rounds_reach_the_best_weights():
+    """The loss after them is near that after many."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(4000) < 0.3).astype(float)
+    at = np.stack([np.where(rng.random(4000) < 0.8, 3 * k + y, 3 * k + 2 + 50 * (rng.random(4000) < 0.02)) for k in range(8)]).astype(int)
+    counts = descent.shown(at, y, 100)
+
+    def loss(rounds):
+        w, b = descent.logistic(lambda x: descent.logistic_slope(at, y, *x[0], y.sum(), len(y) - y.sum()), [descent.bound(8, counts)], rounds)[0]
+        z = w[at].sum(0) + b
+        return np.where(y > 0, np.log1p(np.exp(-z)) / (y > 0).sum(), np.log1p(np.exp(z)) / (y <= 0).sum()).sum() / 2
+
+    assert loss(descent.ROUNDS) < loss(2000) + 0.01 < 0.05
